@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphwright.llm import bpe, chunk, leakage
+from graphwright.llm import bpe, chunk, components, leakage, survivor
 from graphwright.llm.sql import SQL
 from graphwright.session import table
 
@@ -27,4 +27,20 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunk.split_documents(table(spark, d, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans, "p9_pieces": p9_pieces}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return components.group_keys(table(spark, d, "match_results"), table(spark, d, "clusters"))
+
+
+def _members(spark: SparkSession, d: str) -> DataFrame:
+    return survivor.merge_members(table(spark, d, "normalized_entities"), table(spark, d, "clusters"), table(spark, d, "evolution_results"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivor.choose_stated(_members(spark, d))
+
+
+def p6_truth(spark: SparkSession, d: str) -> DataFrame:
+    return survivor.discover(_members(spark, d))
+
+
+QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p6_truth": p6_truth, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans, "p9_pieces": p9_pieces}
