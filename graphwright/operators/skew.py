@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 HOT_SHARE = 0.002
 #: Rows (expected) looked at to find hot keys.  Only the plan depends on them, never the result.
 HOT_SAMPLE = 200_000
+#: Up to so many rows even a key that holds them all is no burden for one task, and no search is made.
+SMALL = 2_000_000
 
 
 def hot_keys(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
@@ -25,6 +27,8 @@ def join_to_unique(big: DataFrame, unique: DataFrame, keys: list[str], rows: int
     bounded table and are broadcast, and the hot rows of ``big`` stay where
     they are.  All other rows take a shuffled join.  Null keys never match.
     """
+    if rows <= SMALL:
+        return big.join(unique, keys, how)
     hot = [tuple(r) for r in hot_keys(big, keys, rows).collect()]
     if not hot:
         return big.join(unique, keys, how)
