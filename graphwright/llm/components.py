@@ -16,7 +16,7 @@ from graphwright.operators.skew import join_to_unique
 from graphwright.session import cut
 
 #: Rate of the exponential shifts: the lower, the wider the clusters.
-BETA = 0.4
+BETA = 0.05
 #: Hops that clusters grow per level.
 HOPS = 3
 
