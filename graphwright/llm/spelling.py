@@ -28,7 +28,7 @@ ORG_SHORT = {
 }
 # Words that carry nothing, and legal forms.
 ORG_STOP = frozenset("of for f the and at in a an und der die das de la el y fur für & o".split())
-ORG_LEGAL = frozenset("ltd limited inc incorporated gmbh ag sa s.a. plc llc corp bv ev e.v. kg srl oy ab nv".split())
+ORG_LEGAL = frozenset("as a.s. oyj aps sarl spa s.p.a. kk pty ltd limited inc incorporated gmbh ag sa s.a. plc llc corp bv ev e.v. kg srl oy ab nv".split())
 
 _FOLD = str.maketrans({"ł": "l", "ø": "o", "đ": "d", "ı": "i", "ß": "ss", "æ": "ae", "œ": "oe", "’": "'", "`": "'"})
 _WORDS = re.compile(r"[^\W_]+")
@@ -190,6 +190,9 @@ def same_org_name(a: tuple[str, ...], b: tuple[str, ...]) -> int:
             left.remove(hit)
     if not extra and not left:
         return 2 if len(a) > 1 else 0
+    # a single short word on one side only is a legal form or a filling word not in the lists
+    if len(extra) + len(left) == 1 and len((extra or left)[0]) <= 3 and min(len(a), len(b)) >= 3:
+        return 2
     for short, words, both in ((extra, left, a), (left, extra, b)):
         if len(short) == 1 and len(words) >= 2 and len(both) > 1 and 2 <= len(short[0]) <= 8:
             if sorted(short[0]) == sorted(w[0] for w in words) or sorted(short[0]) == sorted(["o", *(w[0] for w in words)]):
