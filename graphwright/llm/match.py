@@ -43,11 +43,15 @@ _SIDE = {w: k for k, v in SIDES.items() for w in [k, *v.split()]}
 _STRUCTURE = {w: k for k, v in STRUCTURES.items() for w in [k, *v.split()]}
 
 
-def _word(w: str, table: dict[str, str]) -> str | None:
-    if w in table:
-        return table[w]
+_KNOWN = {w: ("side", k) for w, k in _SIDE.items()} | {w: ("structure", k) for w, k in _STRUCTURE.items()} | {w: ("kind", w) for w in KINDS}
+
+
+def _word(w: str) -> tuple[str, str] | None:
+    """(side, structure or kind, full form) of a word; words with one typo count if only one known word is that near."""
+    if w in _KNOWN:
+        return _KNOWN[w]
     if len(w) >= 4:
-        near = {k for x, k in table.items() if len(x) >= 4 and spelling.distance(w, x, 1) == 1}
+        near = {k for x, k in _KNOWN.items() if len(x) >= 4 and spelling.distance(w, x, 1) == 1}
         return near.pop() if len(near) == 1 else None
     return None
 
@@ -63,12 +67,9 @@ def read_thing(text: str) -> dict:
             out["number"] = NUMBERS[raw]
         elif raw in ("no", "nr", "number"):
             continue
-        elif w in KINDS or (len(w) > 4 and any(len(k) > 4 and spelling.distance(w, k, 1) == 1 for k in KINDS)):
-            continue
-        elif out["side"] is None and (s := _word(w, _SIDE)):
-            out["side"] = s
-        elif out["structure"] is None and (s := _word(w, _STRUCTURE)):
-            out["structure"] = s
+        elif (known := _word(w)) and (known[0] == "kind" or out[known[0]] is None):
+            if known[0] != "kind":
+                out[known[0]] = known[1]
         else:
             out["place"].append(w)
     return out
@@ -189,18 +190,24 @@ def agreement(x: dict, y: dict) -> float:
         s -= 1.0
     if x["lat"] is not None and y["lat"] is not None:
         km = kilometres((x["lat"], x["lon"]), (y["lat"], y["lon"]))
+        if km > 1 and abs(y["lon"]) <= 90:  # latitude and longitude can have been put down the wrong way round
+            km = min(km, kilometres((x["lat"], x["lon"]), (y["lon"], y["lat"])))
         s += 2.5 if km < 0.15 else 1.2 if km < 0.3 else -0.5 if km < 0.5 else -3.0 if km < 0.9 else -7.0
     a, b, c, d = x["since"], x["until"], y["since"], y["until"]
+    # where a record ends before it begins, one of its times is wrong and neither speaks against a pair
+    wrong = (a is not None and b is not None and b < a) or (c is not None and d is not None and d < c)
     if a is not None and c is not None:
         gap = abs(a - c) / DAY
-        s += 2.0 if gap <= 31 else 0.0 if gap <= 62 else -4.0
+        s += 2.0 if gap <= 31 else 0.0 if gap <= 62 or wrong else -4.0 if gap <= 200 else -7.0
     if b is not None and d is not None:
         gap = abs(b - d) / DAY
-        s += 1.5 if gap <= 31 else 0.0 if gap <= 62 else -2.0
-    if (b is not None and c is not None and b < c - 20 * DAY) or (d is not None and a is not None and d < a - 20 * DAY):
+        s += 1.5 if gap <= 31 else 0.0 if gap <= 62 or wrong else -2.0
+    if wrong:
+        pass
+    elif (b is not None and c is not None and b < c - 20 * DAY) or (d is not None and a is not None and d < a - 20 * DAY):
         s -= 8.0
     if x["calls"] and y["calls"]:
-        s += 4.0 if set(x["calls"]) & set(y["calls"]) else -3.0
+        s += 4.0 if set(x["calls"]) & set(y["calls"]) else 0.0 if any(spelling.distance(p, q, 1) == 1 for p in x["calls"] for q in y["calls"]) else -3.0
     if x["permits"] and y["permits"]:
         s += 0.7 if set(x["permits"]) & set(y["permits"]) else -1.0
     if x["org"] and y["org"]:
