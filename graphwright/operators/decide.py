@@ -102,9 +102,9 @@ def resolve_profiles(rows: DataFrame, profiles: DataFrame, default: str = "defau
             j = d.withColumn("_one", F.lit(1)).join(part.groupBy().agg(F.max("profile_id").alias("profile_id"), F.max("_pins").alias("_pins")).filter("profile_id is not null").withColumn("_one", F.lit(1)), "_one").drop("_one")
         j = j.select(*keys, "profile_id", "_pins")
         hits = j if hits is None else hits.unionByName(j)
-    best = hits.groupBy(*keys).agg(F.max(F.struct("_pins", "profile_id")).alias("_b"))
-    cond = [rows[k].eqNullSafe(best[k]) for k in keys]
-    return rows.join(best, cond, "left").select(*[rows[c] for c in rows.columns], F.coalesce(F.col("_b.profile_id"), F.lit(default)).alias("profile_id"))
+    best = hits.groupBy(*keys).agg(F.max(F.struct("_pins", "profile_id")).alias("_b")).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_b.profile_id").alias("_profile"))
+    cond = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return rows.join(best, cond, "left").withColumn("profile_id", F.coalesce("_profile", F.lit(default))).drop("_profile", *[f"_{k}" for k in keys])
 
 
 def fold_assessments(baseline: DataFrame, assessments: DataFrame) -> DataFrame:
