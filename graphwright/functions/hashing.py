@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,8 +76,6 @@ def canonical_json(document: Column) -> Column:
     """The member ``v`` of a JSON object with sorted keys, compact and ASCII only."""
     import json
 
-    import pandas as pd
-
     @F.pandas_udf("string")
     def render(s: pd.Series) -> pd.Series:
         one = lambda x: None if x is None else json.dumps(json.loads(x).get("v"), sort_keys=True, separators=(",", ":"), ensure_ascii=True)
