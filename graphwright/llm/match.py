@@ -111,8 +111,8 @@ def _describe(t: pd.DataFrame) -> pd.DataFrame:
         org = next((o for x in (r.affiliations if r.affiliations is not None else []) if x and (o := spelling.read_org(x))), ())
         calls, permits = sorted(set(_codes(r.identifiers, "callsign"))), sorted(set(_codes(r.identifiers, "permit")))
         places = sorted({*n["place"], *hints})
-        terms = {f"g:{p[i : i + 3]}" for w in places for p in [f"^{w}$"] for i in range(len(p) - 2)}
-        terms |= {f"w:{w}" for w in places} | {f"c:{c}" for c in calls} | {f"p:{c}" for c in permits} | {f"o:{w}" for w in org}
+        terms = {f"w:{v}" for w in places for v in spelling.deletions(w)}  # words one typo apart share one of these
+        terms |= {f"c:{c}" for c in calls} | {f"p:{c}" for c in permits} | {f"o:{w}" for w in org}
         terms |= {f"{k}:{n[k]}" for k in ("side", "structure", "number") if n[k] is not None}
         if lat is not None:  # two grids, half a cell apart each way
             terms |= {f"l{i}{j}:{math.floor(lat / 0.03 + i / 2)},{math.floor(lon / 0.03 + j / 2)}" for i in (0, 1) for j in (0, 1)}
