@@ -18,7 +18,7 @@ from graphwright.session import cut
 #: Rate of the exponential shifts: the lower, the wider the clusters.
 BETA = 0.05
 #: Hops that clusters grow per level.
-HOPS = 3
+HOPS = 2
 
 
 def _shift(v: str, level: int) -> Column:

@@ -77,7 +77,7 @@ def read_thing(text: str) -> dict:
 
 def read_degrees(text: str | None, most: float) -> float | None:
     """A coordinate with point or comma, sign or compass letter; None if it is none within ``most``."""
-    m = re.fullmatch(r"\s*([NSEWO])?\s*([+-−]?)\s*(\d{1,3}(?:[.,]\d+)?)\s*°?\s*([NSEWO])?\s*", (text or "").upper())
+    m = re.fullmatch(r"\s*([NSEWO])?\s*([+\-−]?)\s*(\d{1,3}(?:[.,]\d+)?)\s*°?\s*([NSEWO])?\s*", (text or "").upper())
     if not m:
         return None
     v = float(m[3].replace(",", ".")) * (-1 if m[2] in ("-", "−") else 1) * (-1 if (m[1] or m[4] or "") in ("S", "W") and m[2] not in ("-", "−") else 1)

@@ -1,0 +1,120 @@
+"""Grouping, survivors, names and matching on small fixtures."""
+
+import datetime as dt
+import random
+
+from graphwright.llm import components, match, names, spelling, survivor
+
+T = lambda d: dt.datetime(2025, 1, d)
+ENTITY = "row_id bigint, source_key string, graph_id string, entity_type string, normalized_names array<string>, identifiers map<string,array<string>>, affiliations array<string>, neighbors array<string>, attributes map<string,string>, valid_from string, valid_to string, source_reliability double, embedding array<double>, stored_at timestamp, left_key string"
+
+
+def roots(edges):
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            up[max(find(a), find(b))] = min(find(a), find(b))
+    return {x: find(x) for x in up}
+
+
+def test_components_against_union_find(spark):
+    rnd = random.Random(4)
+    edges = [(f"c{i}", f"c{i + 1}") for i in range(40)] + [("hub", f"s{i}") for i in range(60)] + [(f"r{rnd.randint(0, 60)}", f"r{rnd.randint(0, 60)}") for _ in range(50)] + [(None, "x"), ("y", "y"), ("hub", "s1")]
+    got = {r.v: r.root for r in components.components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    want = roots(edges)
+    assert set(got) == set(want)
+    by_got, by_want = {}, {}
+    for v in want:
+        by_got.setdefault(got[v], set()).add(v)
+        by_want.setdefault(want[v], set()).add(v)
+    assert sorted(map(sorted, by_got.values())) == sorted(map(sorted, by_want.values()))
+
+
+M = "match_id bigint, left_key string, right_key string, decided_at timestamp, link_kind string, source_key string"
+C = "cluster_id string, version bigint, entity_type string, members array<string>"
+
+
+def test_group_keys(spark):
+    m = spark.createDataFrame([(1, "a", "b", T(1), "SAME_AS", ""), (2, "b", "a", T(2), None, ""), (3, "b", "c", T(1), "SAME_AS", ""), (4, "c", "b", T(1), "POSSIBLY_SAME_AS", ""), (5, "d", "e", None, "SAME_AS", ""), (6, "e", "e", T(1), "SAME_AS", ""), (7, None, "e", T(1), "SAME_AS", ""), (8, "e", "f", T(3), "SAME_AS", ""), (8, "e", "f", T(3), "SAME_AS", "")], M)
+    c = spark.createDataFrame([("x", 1, "Concept", ["a", "z"]), ("x", 2, "Concept", ["f", "q", "q", None]), ("x", 2, "Concept", ["f", "q"]), ("y", 1, "Paper", ["a", "b"]), ("w", 1, "Concept", ["solo"]), (None, 1, "Concept", ["m", "n"])], C)
+    assert {tuple(r) for r in components.group_keys(m, c).collect()} == {(k, "d") for k in "defq"}
+    assert components.group_keys(m.limit(0), c.limit(0)).count() == 0
+
+
+def entity(n, key, kind, nm=None, ids=None, aff=None, attrs=None, frm=None, to=None, rel=None, graph="g", at=1):
+    return (n, key, graph, kind, nm, ids, aff, [], attrs or {}, frm, to, rel, None, T(at), "clash")
+
+
+def test_survivors(spark):
+    e = [
+        entity(1, "s/a", "Paper", ["n/a"], {"doi": ["10.1"]}, attrs={"venue": "V"}, rel=0.9), entity(2, "s/b", "Paper", ["Title"], {"doi": ["--"]}, attrs={"venue": "W", "publisher": "P"}, rel=0.9, at=2), entity(3, "s/c", "Paper", [], None, attrs=None, rel=None),
+        entity(4, "s/b", "Paper", ["Old"], None, rel=1.0, at=1), entity(5, "s/d", "Paper", None, None, attrs={"publisher": "unbekannt", "venue": " "}, rel=0.1),
+    ]
+    cl = spark.createDataFrame([("c", 1, "Paper", ["s/d"]), ("c", 3, "Paper", ["s/a", "s/b", "s/c", "s/zz", "s/b"]), ("d", 1, "Paper", ["s/d", "s/c"]), ("e", 1, "Paper", ["s/a"])], C)
+    ev = spark.createDataFrame([("MERGE", ("c",)), ("MERGE", ("c",)), ("MERGE", ("d",)), ("SPLIT", ("e",)), ("MERGE", None), ("MERGE", (None,))], "kind string, plan struct<cluster_id:string>")
+    m = survivor.merge_members(spark.createDataFrame(e, ENTITY), cl, ev)
+    got = {(r.cluster_id, r.field): r.source_key for r in survivor.choose_stated(m).collect()}
+    assert got == {("c", "name"): "s/b", ("c", "doi"): "s/a", ("c", "venue"): "s/b", ("c", "publisher"): "s/b", ("c", "into"): "s/b", ("d", "into"): "s/d"}
+    assert survivor.choose_stated(m.limit(0)).count() == 0
+
+
+def test_truth_discovery_follows_agreement(spark):
+    rows = []
+    for c in range(8):
+        rows += [(f"c{c}", f"{s}/{c}", None, T(1), v, None, None, None, None) for s, v in (("good", f"right {c}"), ("fair", f"RIGHT {c}"), ("bad", f"wrong {c}"))]
+    rows += [("last", "good/9", None, T(1), "yes", None, None, None, None), ("last", "bad/9", None, T(1), "a no", None, None, None, None)]
+    m = spark.createDataFrame(rows, "cluster_id string, source_key string, reliability double, stored_at timestamp, name string, doi string, venue string, proposed_year string, publisher string")
+    got = {r.cluster_id: r.value for r in survivor.discover(m).collect()}
+    assert got["last"] == "yes" and all(got[f"c{c}"].lower() == f"right {c}" for c in range(8))
+    assert survivor.discover(m.limit(0)).count() == 0
+
+
+def test_reading_names():
+    same = lambda a, b: spelling.same_person_name(spelling.read_person(a), spelling.read_person(b))
+    assert same("Jürgen H. Godrairvik-Beigandild", "prof. dr. juergen godrairvik-beigandild") == 2
+    assert same("Becky Feipelique", "feipelique, rebecca") == 2 and same("e. laimoulari", "Elizabeth Laimoulari, PhD") == 1
+    assert same("emeka geiyouello", "matthias geiyouello") == 0 and same("robert richard wimairktun", "robert theodore wimairktun") == 0
+    assert spelling.read_person("") is None and spelling.read_person("...") is None
+    org = lambda a, b: spelling.same_org_name(spelling.read_org(a), spelling.read_org(b))
+    assert org("univ. of polar tran., raiwemund", "Raiwemund University of Polar Transport Ltd") == 2
+    assert org("asr graivorkow s.a.", "Agency of Seismic Records, Graivorkow") == 1 and org("agency of crop genetics, x-town", "agency of grid safety, x-town") == 0
+
+
+def test_variants(spark):
+    p = lambda n, k, nm, aff, g="g": entity(n, k, "Person", nm, None, aff, graph=g)
+    a, b = ["company of textile conservation, paklaisel"], ["agency of seismic records, neivailtesk"]
+    rows = [
+        p(1, "s/1", ["Rebecca Hamirild"], a), p(2, "s/2", ["harnirild, rebecca josephine"], ["paklaisel textile conservation company"]), p(3, "s/3", ["becky hamirlid"], a), p(4, "s/4", ["Rebecca Hamirild"], b), p(5, "s/5", ["R. Hamirild"], a),
+        p(6, "s/6", ["rebecca hamirild"], a, "other"), p(7, "s/7", None, None), p(8, "s/8", [""], [None]), p(9, None, ["Rebecca Hamirild"], a), p(10, "s/1", ["Rebecca Hamirild"], a), p(11, "s/11", ["Anthony Yaserholm"], []), p(12, "s/12", ["anthony yaserhlom"], a),
+        entity(20, "o/1", "Organization", ["Company of Textile Conservation, Paklaisel"]), entity(21, "o/2", "Organization", ["cotc paklaisel ltd"]), entity(22, "o/3", "Organization", ["textile cons. co. (paklaisle)"]), entity(23, "o/4", "Organization", ["Agency of Textile Conservation, Paklaisel"]),
+    ]
+    got = {(r.left_key, r.right_key) for r in names.find_variants(spark.createDataFrame(rows, ENTITY)).collect()}
+    one = ["s/1", "s/2", "s/3", "s/5"]
+    want = {(x, y) for i, x in enumerate(one) for y in one[i + 1 :]} | {("s/11", "s/12")} | {("o/1", "o/2"), ("o/1", "o/3"), ("o/2", "o/3")}
+    assert got == want
+    assert names.find_variants(spark.createDataFrame([], ENTITY)).count() == 0
+
+
+def test_matching(spark):
+    v = lambda n, k, nm, lat, lon, frm, to, ids=None: entity(n, k, "Station", [nm] if nm else None, ids, ["agency of coastal ecology, skeibrenwyn"], {"latitude": lat, "longitude": lon} if lat else {}, frm, to)
+    rows = [
+        v(1, "feed/a/1", "skeibrenwyn north tower stn 1", "10.0001", "20.0001", "2015-01-01", "2018-01-01", {"callsign": ["AB 12"]}), v(2, "feed/b/1", "tower n., skeibrenwny post", "10,0004", "20,0003", "2015-01-09T00:00:00Z", None, {"callsign": ["ab-12"]}),
+        v(3, "feed/b/2", "skeibrenwyn north tower post 1", "10.0002", "20.0002", "2018-06-01", "2021-01-01"), v(4, "feed/a/2", "skeibrenwyn south tower stn 1", "10.0131", "20.0001", "2015-01-01", "2018-01-01"), v(5, "feed/b/3", "s tower skeibrenwyn", "10.0133N", "20.0002E", None, "2018-01-03"),
+        v(6, "feed/c/1", None, None, None, None, None), v(7, "feed/a/1", "old name", None, None, None, None)[:13] + (None, "clash"), v(8, "feed/c/2", "x" * 3000, "0.0", "0.0", "bad", "bad"),
+    ]
+    reg = spark.createDataFrame([(s, "UTC", True) for s in ("feed/a", "feed/b", "feed/c")], "source string, home_zone string, day_first boolean")
+    got = match.match_things(spark.createDataFrame(rows, ENTITY), reg).collect()
+    assert {(r.left_key, r.right_key) for r in got} == {("feed/a/1", "feed/b/1"), ("feed/a/2", "feed/b/3")}
+    assert all(0.5 < r.confidence <= 1 for r in got)
+    assert match.match_things(spark.createDataFrame([], ENTITY), reg).count() == 0
+
+
+def test_degrees():
+    f = match.read_degrees
+    assert [f(x, 90) for x in ("1.5", "-1,5", "1.5S", "S 1.5", "91", "", None, "abc")] == [1.5, -1.5, -1.5, -1.5, None, None, None, None]
