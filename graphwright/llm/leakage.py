@@ -92,7 +92,7 @@ def skeleton_offsets(text: str) -> tuple[str, list[int]]:
 def item_words(texts: dict[int, str]) -> dict[int, list[str]]:
     """Own words of each item as skeletons; first and last lines that SHARED_BY or more items have are left out."""
     lines = {i: [x for x in t.splitlines() if skeleton(x)] for i, t in texts.items()}
-    seen = Counter(s for ls in lines.values() for s in {skeleton(x) for x in {ls[0], ls[-1]}} if ls)
+    seen = Counter(s for ls in lines.values() if ls for s in {skeleton(x) for x in (ls[0], ls[-1])})
     out = {}
     for i, ls in lines.items():
         while len(ls) > 1 and seen[skeleton(ls[0])] >= SHARED_BY:
