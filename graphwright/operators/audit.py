@@ -28,3 +28,15 @@ def replay(records: DataFrame, recompute: Column, stored: str) -> DataFrame:
     out = records.withColumn("replayed", recompute)
     same = F.col("replayed").eqNullSafe(F.col(stored))
     return out.withColumn("reproduced", same).withColumn("divergence", F.when(~same, F.concat(F.lit("stored "), F.coalesce(F.col(stored), F.lit("null")), F.lit(", replayed "), F.coalesce("replayed", F.lit("null")))))
+
+
+def semantic_records(decisions: DataFrame, versions: Column, now: str) -> DataFrame:
+    """Audit rows of decisions (decision_kind, subject, baseline, final, trace_id, inputs): content-addressed, with everything that a replay needs."""
+    seed = F.concat_ws("|", "decision_kind", "subject", F.coalesce("baseline", F.lit("")), F.coalesce("final", F.lit("")), F.coalesce("trace_id", F.lit("")), F.to_json("inputs"))
+    return decisions.select(derived_id("audit", seed).alias("audit_id"), "decision_kind", "subject", "baseline", "final", "trace_id", versions.alias("versions"), F.to_json("inputs").alias("replay_inputs"), F.to_timestamp(F.lit(now)).alias("recorded_at"))
+
+
+def metric_snapshot(matcher: DataFrame, clusters: DataFrame, curation: DataFrame) -> DataFrame:
+    """One row with the three metric bundles as structs; each input has one row."""
+    one = lambda df, name: df.select(F.struct(*df.columns).alias(name))
+    return one(matcher, "matcher").crossJoin(F.broadcast(one(clusters, "clusters"))).crossJoin(F.broadcast(one(curation, "curation")))

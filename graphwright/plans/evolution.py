@@ -85,3 +85,24 @@ def review_outcome(action: Column, members: Column) -> Column:
     """What a review action leads to: RECORDED, PLANNED or REFUSED (merges need two members; unknown actions are refused)."""
     known = action.isin(*config.REVIEW_ACTIONS)
     return F.when(~F.coalesce(known, F.lit(False)), "REFUSED").when(action == "REJECT", "RECORDED").when(action.isin("MERGE_ELSEWHERE", "LINK", "EDIT") & (F.coalesce(F.size(members), F.lit(0)) < 2), "REFUSED").otherwise("PLANNED")
+
+
+def promotion(terms: DataFrame) -> DataFrame:
+    """CREATE_IDENTITY rows for approved ontology terms (term_id, graph_id, history); others give no row."""
+    ok = terms.filter(may_promote(F.col("history")))
+    return ok.select("term_id", "graph_id", F.lit("CREATE_IDENTITY").alias("op_type"), derived_id("operation", F.concat(F.lit("recur:"), "term_id", F.lit(":CREATE_IDENTITY:"), "graph_id")).alias("operation_id"))
+
+
+def apply_routed(new: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(operations, conflicts) for new records (fact, assertion_id, value, kind) against the current record of their fact.
+
+    CORROBORATION attaches; SUPERSESSION attaches the new record and retracts
+    the current one (nothing if that is the same record or not ACTIVE);
+    CONFLICT attaches and lists both as unresolved for review.
+    """
+    j = new.join(current.select("fact", F.col("assertion_id").alias("old_id"), F.col("status").alias("old_status")), "fact", "left")
+    ok = j.filter((F.col("kind") != "SUPERSESSION") | ((F.col("old_id") != F.col("assertion_id")) & (F.col("old_status") == "ACTIVE")))
+    attach = ok.select("fact", F.lit(0).alias("op_index"), F.lit("ATTACH_ASSERTION").alias("op_type"), "assertion_id").distinct()
+    retract = ok.filter("kind = 'SUPERSESSION'").select("fact", F.lit(1).alias("op_index"), F.lit("RETRACT_ASSERTION").alias("op_type"), F.col("old_id").alias("assertion_id")).distinct()
+    conflicts = ok.filter("kind = 'CONFLICT' and old_id is not null").select("fact", F.array_sort(F.array("assertion_id", "old_id")).alias("assertions"), F.lit("UNRESOLVED").alias("status"), F.lit(True).alias("review_required")).distinct()
+    return attach.unionByName(retract), conflicts

@@ -69,3 +69,17 @@ def as_of(assertions: DataFrame, epoch: Column | int | None = None, at: Column |
         return out.filter((F.col("recorded_at") <= at) & (F.col("superseded_at").isNull() | (F.col("superseded_at") > at) | F.lit(superseded)))
     hidden = [s for s, show in (("SUPERSEDED", superseded), ("REVOKED", revoked)) if not show]
     return out.filter(~F.col("status").isin(*hidden)) if hidden else out
+
+
+def payloads(ops: DataFrame) -> DataFrame:
+    """Adds ``payload`` and ``reversal_data`` as JSON: what an operation writes, and what takes it back.
+
+    An identity is revoked, an assertion retracted: status SUPERSEDED with its
+    own ``created_at`` as the time of supersession.
+    """
+    create = F.to_json(F.struct("identity_id", "candidate_id"))
+    attach = F.to_json(F.struct("assertion_id", "subject_identity", "predicate", "value", "object_identity", "status"))
+    revoke = F.to_json(F.struct(F.lit("REVOKE_IDENTITY").alias("type"), "identity_id", F.lit("compensated").alias("reason")))
+    retract = F.to_json(F.struct(F.lit("RETRACT_ASSERTION").alias("type"), "assertion_id", "subject_identity", F.lit("SUPERSEDED").alias("status"), F.col("created_at").alias("superseded_at")))
+    new = F.col("op_type") == "CREATE_IDENTITY"
+    return ops.withColumn("payload", F.when(new, create).otherwise(attach)).withColumn("reversal_data", F.when(new, revoke).otherwise(retract))
