@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import combinations, product
 
 # Titles and letters after names.
 TITLES = frozenset("dr prof professor mr mrs ms miss sir dame herr frau phd dphil msc mag mba md ba bsc dipl ing rer nat retd ret esq jr sr hon".split())
@@ -203,3 +204,89 @@ def same_org_name(a: tuple[str, ...], b: tuple[str, ...]) -> int:
 def deletions(word: str) -> list[str]:
     """The word and, from 5 letters on, the word less any one letter: words one edit apart share one of these."""
     return [word] if len(word) < 5 else sorted({word, *(word[:i] + word[i + 1 :] for i in range(len(word)))})
+
+
+def _shortened(word: str, most: int) -> set[str]:
+    """The word less up to ``most`` letters."""
+    out = new = {word}
+    for _ in range(most):
+        new = {w[:i] + w[i + 1 :] for w in new for i in range(len(w))}
+        out = out | new
+    return out
+
+
+class WordTokens:
+    """What a word of an organisation's name can stand for: words that fit each other share a token.
+
+    ``common`` has the common words and their counts.  The tokens of a word are
+    the common words that it fits; where it is not common or is cut short, also
+    its first two letters and its last three, which rank as rarer than all.
+    """
+
+    def __init__(self, common: dict[str, int]) -> None:
+        self.common, self.known = common, {}
+        self.typos: dict[str, set[str]] = {}
+        self.heads: dict[str, set[str]] = {}
+        for c in common:
+            for x in _shortened(c, 0 if len(c) < 4 else 1 if len(c) < 7 else 2):
+                self.typos.setdefault(x, set()).add(c)
+            for n in range(2, len(c)):
+                for x in _shortened(c[:n], 0 if n < 4 else 1):
+                    self.heads.setdefault(x, set()).add(c)
+
+    def of(self, word: str) -> tuple[tuple[int, str], ...]:
+        """(count, token), rarest first."""
+        if word not in self.known:
+            x, dotted = word.rstrip("."), word.endswith(".")
+            near = set().union(*(self.typos.get(d, ()) for d in _shortened(x, 0 if len(x) < 4 else 1 if len(x) < 7 else 2)))
+            if dotted:
+                near = near.union(*(self.heads.get(d, ()) for d in _shortened(x, 0 if len(x) < 4 else 1)))
+            out = {(self.common[c], c) for c in near if _word_fits(word, c)}
+            if dotted or x not in self.common:
+                out |= {(0, f"<{x[:2]}"), (0, f">{x[-3:]}")}
+            self.known[word] = tuple(sorted(out))
+        return self.known[word]
+
+
+def rarest_together(words: list[str], tokens: WordTokens, most: int = 3) -> set[str]:
+    """The ``most`` rarest tokens of a name, for every reading of its words: names that agree word by word share one of these.
+
+    Words of up to three letters can be left out, as ``same_org_name`` does.
+    """
+    if len(words) < 2:
+        return set()
+    options = [tokens.of(w) for w in words]
+    # the latest that a word can stand in the order; one that can be left out, behind all
+    last = [(float("inf"), "") if len(w) <= 3 and len(words) > 3 else o[-1] for w, o in zip(words, options, strict=True)]
+    bound = sorted(last)[most] if len(last) > most else (float("inf"), "")
+    few = [[t for t in o if t <= bound] for o in options]
+    used = [i for i, o in enumerate(few) if o]
+    out = set()
+    for n in range(1, most + 1):
+        for at in combinations(used, n):
+            others = [last[i] for i in range(len(words)) if i not in at]
+            least = min(others, default=(float("inf"), ""))
+            if n < most and least[0] != float("inf"):
+                continue
+            out |= {"&".join(x for _, x in sorted(c)) for c in product(*(few[i] for i in at)) if max(c) <= least}
+    return out
+
+
+def acronym_keys(words: list[str], tokens: WordTokens) -> list[tuple[str, int]]:
+    """(key, kind): a name with an acronym has a key of kind 1 that the name it stands for has with kind 2.
+
+    A key is a token of a word that both names have, and the initials of all other words.
+    """
+    if len(words) < 2:
+        return []
+    out = []
+    for i, w in enumerate(words):
+        rest = [x[0] for j, x in enumerate(words) if j != i]
+        if len(rest) > 1:
+            out += [(f"@{''.join(sorted(rest))}|{t}", 2) for _, t in tokens.of(w)]
+        for j, e in enumerate(words):
+            if j != i and 2 <= len(e) <= 8 and not e.endswith("."):
+                other = [x[0] for k, x in enumerate(words) if k not in (i, j)]
+                for letters in {e, e.replace("o", "", 1)}:
+                    out += [(f"@{''.join(sorted([*letters, *other]))}|{t}", 1) for _, t in tokens.of(w)]
+    return out

@@ -118,3 +118,28 @@ def test_matching(spark):
 def test_degrees():
     f = match.read_degrees
     assert [f(x, 90) for x in ("1.5", "-1,5", "1.5S", "S 1.5", "91", "", None, "abc")] == [1.5, -1.5, -1.5, -1.5, None, None, None, None]
+
+
+def test_variants_at_a_hot_place(spark):
+    kinds, fields, topics = ["institute", "agency", "centre", "laboratory"], ["freight", "polar", "crop", "textile", "coastal"], ["analytics", "genetics", "safety"]
+    many = [f"{f} {t} {k} praterholm" for k in kinds for f in fields for t in topics]
+    odd = ["freight analytics institute pratreholm", "freight anal. institute praterholm", "fai praterholm", "frieght analytics inst. praterholm", "praterhlom freight analitics inst"]
+    rows = [entity(i, f"o/{i:03}", "Organization", [n]) for i, n in enumerate([*many, *odd])]
+    got = {(r.left_key, r.right_key) for r in names.find_variants(spark.createDataFrame(rows, ENTITY)).collect()}
+    one = [f"o/{i:03}" for i in (0, *range(len(many), len(many) + len(odd)))]
+    assert got == {(x, y) for i, x in enumerate(one) for y in one[i + 1 :]}
+
+
+def test_names_that_agree_share_a_key():
+    common = {w: 100 - i for i, w in enumerate("institute agency freight analytics polar transport stipurkine conservation coastal".split())}
+    tokens = spelling.WordTokens(common)
+    full = ("analytics", "freight", "institute", "stipurkine")
+    variants = [full, ("anal.", "freight", "institute", "stipurkine"), ("analytics", "frieght", "institute", "stipurkine"), ("analytics", "freight", "institute", "stiprukinee"), ("analytics", "freight", "institute", "nv2", "stipurkine"), ("aif", "stipurkine"), ("aiof", "stipurkine"), ("aif", "stiprukine"), ("inst.", "fsa")]
+    keys = {v: (spelling.rarest_together(list(v), tokens), {k for k, n in spelling.acronym_keys(list(v), tokens) if n == 1}, {k for k, n in spelling.acronym_keys(list(v), tokens) if n == 2}) for v in variants}
+    seen = 0
+    for a in variants:
+        for b in variants:
+            if a != b and spelling.same_org_name(a, b):
+                seen += 1
+                assert keys[a][0] & keys[b][0] or keys[a][1] & keys[b][2] or keys[a][2] & keys[b][1], (a, b)
+    assert seen >= 30
