@@ -50,9 +50,12 @@ def knn_pairs(vectors: DataFrame, queries: DataFrame, k: int = 10, block: str |
     """(left, right) of every query's ``k`` nearest vectors by cosine within its block (all vectors without one), folded to unordered pairs.
 
     ``vectors`` and ``queries`` have (key, vec, label); ties go to the smaller key; a vector is not its own neighbour.
+    Without a block every query meets every vector; each task keeps its own ``k`` nearest, and only those are shuffled.
     """
-    q = queries.select(F.col("key").alias("q"), F.col("vec").alias("qv"), *([F.col(block).alias("_b")] if block else [F.lit(0).alias("_b")]))
-    v = vectors.select(F.col("key").alias("v"), F.col("vec").alias("vv"), *([F.col(block).alias("_b")] if block else [F.lit(0).alias("_b")]))
-    sims = q.join(v, "_b").filter("q <> v").select("q", "v", cosine(F.col("qv"), F.col("vv")).alias("sim")).filter("sim is not null")
+    by = [F.col(block).alias("_b")] if block else []
+    q = queries.select(F.col("key").alias("q"), F.col("vec").alias("qv"), *by)
+    v = vectors.select(F.col("key").alias("v"), F.col("vec").alias("vv"), *by)
+    both = q.join(v, "_b") if block else v.crossJoin(q)
+    sims = both.filter("q <> v").select("q", "v", cosine(F.col("qv"), F.col("vv")).alias("sim")).filter("sim is not null")
     near = sims.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "v"))).filter(F.col("n") <= k)
     return near.select(F.least("q", "v").alias("left"), F.greatest("q", "v").alias("right")).distinct()

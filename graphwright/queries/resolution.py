@@ -48,7 +48,7 @@ def block_cap_report(spark, d):
 
 def knn_pairs(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").cast("array<double>").alias("vec"), "label")
-    return block.knn_pairs(v, v.filter("key % 50 = 0"), 5)
+    return block.knn_pairs(v, v.filter("key % 50 = 0"), 5, block=None)
 
 
 def _attached(spark, d):
