@@ -29,6 +29,17 @@ def normalize_name_exact(col: Column) -> Column:
     return fold(col)
 
 
+def normalize_names_exact(names: Column) -> Column:
+    """``normalize_name_exact`` of every text of an array; null for null."""
+    import unicodedata
+
+    @F.pandas_udf("array<string>")
+    def fold(s: pd.Series) -> pd.Series:
+        return s.map(lambda xs: None if xs is None else [None if x is None else " ".join(unicodedata.normalize("NFKC", x).split()).casefold() for x in xs])
+
+    return fold(names)
+
+
 def normalize_doi(col: Column) -> Column:
     """Trimmed, folded, without the first resolver or scheme prefix."""
     prefix = "|".join(p.replace(".", r"\.") for p in DOI_PREFIXES)
@@ -54,10 +65,10 @@ def identifier_map(ids: Column) -> Column:
     return F.map_filter(clean, lambda _, vs: F.size(vs) > 0)
 
 
-def string_set(values: Column) -> Column:
+def string_set(values: Column, exact: bool = False) -> Column:
     """Sorted distinct normalised texts; an empty array for null."""
-    empty = F.array().cast("array<string>")
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(values, empty), normalize_name), lambda v: F.length(v) > 0)))
+    values = F.coalesce(values, F.array().cast("array<string>"))
+    return F.array_sort(F.array_distinct(F.filter(normalize_names_exact(values) if exact else F.transform(values, normalize_name), lambda v: F.length(v) > 0)))
 
 
 def first_vector(representations: Column) -> Column:
@@ -71,18 +82,20 @@ def graph_of_identity(identity: Column) -> Column:
     return F.nullif(F.regexp_extract(identity, "^kg://([^/]+)/", 1), F.lit(""))
 
 
-def normalize_entities(entities: DataFrame, hooks: dict[str, dict[str, Column]] | None = None) -> DataFrame:
+def normalize_entities(entities: DataFrame, hooks: dict[str, dict[str, Column]] | None = None, exact: bool = False) -> DataFrame:
     """Normalised view of entity rows: names in first-seen order, identifiers, affiliations and neighbours as sets, coordinates as numbers.
 
     ``hooks`` adds named columns for one entity type (null for others).  Rows
-    are never merged; null arrays become empty, null maps stay null.
+    are never merged; null arrays become empty, null maps stay null.  ``exact``
+    composes compatibility forms of names, affiliations and neighbours too.
     """
-    names = F.array_distinct(F.filter(F.transform(F.coalesce("normalized_names", F.array().cast("array<string>")), normalize_name), lambda v: F.length(v) > 0))
+    raw = F.coalesce("normalized_names", F.array().cast("array<string>"))
+    names = F.array_distinct(F.filter(normalize_names_exact(raw) if exact else F.transform(raw, normalize_name), lambda v: F.length(v) > 0))
     number = lambda k: F.try_element_at("attributes", F.lit(k)).try_cast("double")
     both = number("latitude").isNotNull() & number("longitude").isNotNull()
     out = entities.select(
         "row_id", "source_key", "graph_id", normalize_entity_type(F.col("entity_type")).alias("entity_type"), names.alias("names"), identifier_map(F.col("identifiers")).alias("ids"),
-        string_set(F.col("affiliations")).alias("affiliations"), string_set(F.col("neighbors")).alias("neighbors"), F.when(both, number("latitude")).alias("latitude"), F.when(both, number("longitude")).alias("longitude"),
+        string_set(F.col("affiliations"), exact).alias("affiliations"), string_set(F.col("neighbors"), exact).alias("neighbors"), F.when(both, number("latitude")).alias("latitude"), F.when(both, number("longitude")).alias("longitude"),
         "source_reliability", "embedding", source_of(F.col("source_key")).alias("source"), "stored_at",
     )
     for kind, extra in (hooks or {}).items():

@@ -11,7 +11,7 @@ from graphwright.session import table
 
 
 def normalize_entities(spark, d):
-    e = normalize.normalize_entities(table(spark, d, "normalized_entities").filter("entity_type in ('Paper', 'Concept')"))
+    e = normalize.normalize_entities(table(spark, d, "normalized_entities"), exact=True)
     return e.select("row_id", "entity_type", F.array_join("names", "|").alias("names"), F.array_join(F.try_element_at("ids", F.lit("doi")), "|").alias("doi"), "source")
 
 

@@ -18,3 +18,13 @@ def test_knn_searches_all_labels(spark, tmp_path):
     got = resolution.knn_pairs(spark, str(tmp_path))
     assert {(r.left, r.right) for r in got.collect()} == want
     assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_normalize_entities_of_all_types(spark, tmp_path):
+    names = {"Person": ["  Ine\u0301s\u00a0 Stra\u00dfe", "\uff21da", "in\u00e9s strasse", None, " "], "Organization": ["ODD\u2003Co."], "Sensor": ["Probe 1"], "Station": None, "Venue": [], "Paper": ["A  b"], "Concept": ["C"]}
+    rows = [(i, f"feed/a/{i}", "g", k, n, {"doi": ["doi:X"]}, None, None, {}, None, None, None) for i, (k, n) in enumerate(names.items())]
+    ddl = "row_id bigint, source_key string, graph_id string, entity_type string, normalized_names array<string>, identifiers map<string,array<string>>, affiliations array<string>, neighbors array<string>, attributes map<string,string>, source_reliability double, embedding array<double>, stored_at timestamp"
+    spark.createDataFrame(rows, ddl).write.parquet(str(tmp_path / "normalized_entities.parquet"))
+    got = {r.entity_type: (r.names, r.doi, r.source) for r in resolution.normalize_entities(spark, str(tmp_path)).collect()}
+    want = {"person": "in\u00e9s strasse|ada", "organization": "odd co.", "sensor": "probe 1", "station": "", "venue": "", "paper": "a b", "concept": "c"}
+    assert got == {k: (v, "x", "feed/a") for k, v in want.items()}
