@@ -3,9 +3,8 @@
 Every attribute of a record becomes terms of one inverted index.  BM25 finds
 each record's nearest records: terms that are too common to lift a record over
 the least score that counts make no candidates (exact, because their greatest
-contributions together stay below it), and the top k of the rest are kept.
-Candidates are judged by how names, identifiers, validity, place and operator
-agree; a pair stands if each is the other's nearest in its source, and its
+contributions together stay below it).  All others are judged by how names,
+identifiers, validity, place and operator agree; a pair stands if each is the other's nearest in its source, and its
 confidence is a logistic function of its score and of the gap to the runner-up.
 """
 
@@ -25,8 +24,8 @@ from graphwright.llm import spelling
 from graphwright.operators.timestamps import normalise_timestamps
 from graphwright.session import cut
 
-#: BM25 constants; share of its own score that a record's candidate must reach; candidates kept per record.
-K1, B, LEAST_SHARE, TOP_K = 1.2, 0.75, 0.3, 60
+#: BM25 constants; share of its own score that a record's candidate must reach.
+K1, B, LEAST_SHARE = 1.2, 0.75, 0.3
 #: Pairs with identifiers on both sides on which the confidence is calibrated: the first so many by hash.
 CALIBRATION_ROWS = 20_000
 DAY = 86_400_000_000
@@ -273,9 +272,8 @@ def match_things(entities: DataFrame, registry: DataFrame) -> DataFrame:
     judged = cut(_judge(candidates(index), things, index))
     c = judged.select("grp", F.col("a").alias("q"), F.col("b").alias("d"), F.col("sb").alias("r"), F.col("ab").alias("bm"), "score", "label")
     c = c.unionByName(judged.select("grp", F.col("b").alias("q"), F.col("a").alias("d"), F.col("sa").alias("r"), F.col("ba").alias("bm"), "score", "label"))
-    top = c.withColumn("n", F.row_number().over(Window.partitionBy("grp", "q").orderBy(F.desc("bm"), "d"))).filter(F.col("n") <= TOP_K)
     near = Window.partitionBy("grp", "q", "r").orderBy(F.desc("score"), F.desc("bm"), "d")
-    ranked = top.withColumn("k", F.row_number().over(near)).withColumn("second", F.lead("score").over(near)).filter("k = 1")
+    ranked = c.withColumn("k", F.row_number().over(near)).withColumn("second", F.lead("score").over(near)).filter("k = 1")
     ranked = ranked.withColumn("gap", F.least(F.lit(10.0), F.coalesce(F.col("score") - F.col("second"), F.lit(10.0))))
     one, two = ranked.filter("q < d"), ranked.filter("q > d").select("grp", F.col("d").alias("q"), F.col("q").alias("d"), F.col("gap").alias("gap2"))
     mutual = cut(one.join(two, ["grp", "q", "d"]).select(F.col("q").alias("left_key"), F.col("d").alias("right_key"), "score", F.least("gap", "gap2").alias("gap"), "label"))

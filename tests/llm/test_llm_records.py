@@ -143,3 +143,14 @@ def test_names_that_agree_share_a_key():
                 seen += 1
                 assert keys[a][0] & keys[b][0] or keys[a][1] & keys[b][2] or keys[a][2] & keys[b][1], (a, b)
     assert seen >= 30
+
+
+def test_matching_at_a_hot_site(spark):
+    t = lambda n, k, nm, frm, org=None: entity(n, k, "Station", [nm], None, [org] if org else [], {}, frm, None)
+    org, piers = "agency of coastal ecology, skeibrenwyn", ["pier", "quarry", "depot", "weir"]
+    rows = [t(1, "feed/a/1", "skeibrenwyn tower", "2015-01-01", org), t(2, "feed/b/1", "tower, skeibrenwny", "2015-01-20")]
+    rows += [t(10 + i, f"feed/b/x{i}", f"skeibrenwyn {piers[i % 4]}", "2015-01-01", org) for i in range(300)]
+    rows += [t(400 + i, f"feed/c/y{i}", f"{'abcdefghijklmnopqrst'[i % 20] * 2}{'klmno'[i % 5]}holmstead{i % 7} tower", "2019-05-05") for i in range(600)]
+    reg = spark.createDataFrame([(s, "UTC", True) for s in ("feed/a", "feed/b", "feed/c")], "source string, home_zone string, day_first boolean")
+    got = {(r.left_key, r.right_key) for r in match.match_things(spark.createDataFrame(rows, ENTITY), reg).collect()}
+    assert ("feed/a/1", "feed/b/1") in got
