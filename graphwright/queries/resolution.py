@@ -123,8 +123,8 @@ def select_survivor(spark, d):
 
 
 def _golden(spark, d):
-    m = table(spark, d, "match_results").filter("link_kind is not null and probability is not null")
-    return m.select("probability", (F.col("link_kind") == "SAME_AS").alias("is_match"), F.col("feature_vector.name_similarity").alias("name_similarity"))
+    m = table(spark, d, "match_results").filter("probability is not null")
+    return m.select("probability", F.col("link_kind").eqNullSafe("SAME_AS").alias("is_match"), F.col("feature_vector.name_similarity").alias("name_similarity"))
 
 
 def matcher_evaluation(spark, d):

@@ -28,3 +28,11 @@ def test_normalize_entities_of_all_types(spark, tmp_path):
     got = {r.entity_type: (r.names, r.doi, r.source) for r in resolution.normalize_entities(spark, str(tmp_path)).collect()}
     want = {"person": "in\u00e9s strasse|ada", "organization": "odd co.", "sensor": "probe 1", "station": "", "venue": "", "paper": "a b", "concept": "c"}
     assert got == {k: (v, "x", "feed/a") for k, v in want.items()}
+
+
+def test_decisions_not_to_link_are_evaluated(spark, tmp_path):
+    rows = [(0.95, "SAME_AS", (0.9,)), (0.95, None, (0.95,)), (0.2, None, (0.1,)), (0.3, None, (None,)), (0.6, "POSSIBLY_SAME_AS", (0.5,)), (None, "SAME_AS", (0.5,))]
+    spark.createDataFrame(rows, "probability double, link_kind string, feature_vector struct<name_similarity:double>").write.parquet(str(tmp_path / "match_results.parquet"))
+    m = resolution.matcher_evaluation(spark, str(tmp_path)).first()
+    assert (m.tp, m.fp, m.fn, m.tn, m.samples, m.false_merge) == (1, 1, 0, 3, 5, 0.25)
+    assert {(r.arm, r.tp, r.fp, r.fn, r.tn) for r in resolution.arm_comparison(spark, str(tmp_path)).collect()} == {("rules", 1, 1, 0, 3), ("name_only", 1, 1, 0, 3)}
