@@ -20,9 +20,14 @@ def cluster_violations(members: DataFrame, pair_results: DataFrame | None = None
     m = members.dropDuplicates(["cluster_id", "member"])
     known = m.filter("graph_id is not null")
     tenant = known.filter("graph_id <> cluster_graph or entity_type <> cluster_type").groupBy("cluster_id").agg(F.array_sort(F.collect_set("member")).alias("offending")).select("cluster_id", F.lit(1).alias("seq"), F.lit("tenant_boundary").alias("constraint"), "offending")
-    # provably disjoint periods exist iff some member ends before another begins: least end against greatest begin, no pairs
-    ends = known.groupBy("cluster_id").agg(F.min("valid_to").alias("e"), F.max("valid_from").alias("b"), F.min(F.when(F.col("valid_to").isNotNull(), F.struct("valid_to", "member"))).alias("first"), F.max(F.when(F.col("valid_from").isNotNull(), F.struct("valid_from", "member"))).alias("last"))
-    temporal = ends.filter("e < b").select("cluster_id", F.lit(2).alias("seq"), F.lit("temporal_consistency").alias("constraint"), F.array_sort(F.array("first.member", "last.member")).alias("offending"))
+    # provably disjoint periods exist iff some member ends before another begins: least end against greatest begin, no pairs;
+    # where one member has both, against the next of the others, as a period that ends before it begins is no pair
+    end, begin = F.when(F.col("valid_to").isNotNull(), F.struct("valid_to", "member")), F.when(F.col("valid_from").isNotNull(), F.struct("valid_from", "member"))
+    ends = known.groupBy("cluster_id").agg(F.min(end).alias("first"), F.max(begin).alias("last"))
+    ends = known.join(ends, "cluster_id").groupBy("cluster_id", "first", "last").agg(F.min(F.when(F.col("member") != F.col("first.member"), end)).alias("second"), F.max(F.when(F.col("member") != F.col("last.member"), begin)).alias("before"))
+    apart = lambda x, y: F.when((F.col(f"{x}.valid_to") < F.col(f"{y}.valid_from")) & (F.col(f"{x}.member") != F.col(f"{y}.member")), F.array_sort(F.array(f"{x}.member", f"{y}.member")))
+    offending = F.coalesce(apart("first", "last"), apart("first", "before"), apart("second", "last"))
+    temporal = ends.select("cluster_id", F.lit(2).alias("seq"), F.lit("temporal_consistency").alias("constraint"), offending.alias("offending")).filter("offending is not null")
     per = m.withColumn("source", source_of(F.col("member"))).groupBy("cluster_id", "source").agg(F.array_sort(F.collect_set("member")).alias("offending")).filter(F.size("offending") > 1)
     source = per.filter(~F.col("source").isin(*allow_multiple) if allow_multiple else F.lit(True)).select("cluster_id", F.lit(3).alias("seq"), F.lit("unique_source").alias("constraint"), "offending")
     out = tenant.unionByName(temporal).unionByName(source)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphwright.functions import similarity
 from graphwright.functions.text import source_of
 from graphwright.operators import block, decide, evaluate, features, normalize
+from graphwright.operators.timestamps import normalise_timestamps
 from graphwright.session import table
 
 
@@ -97,12 +98,18 @@ def profile_resolution(spark, d):
     return decide.resolve_profiles(e, p).select("row_id", "profile_id")
 
 
-def _members(spark, d):
+def _members(spark, d, periods=False):
     c = table(spark, d, "clusters")
     top = c.groupBy("cluster_id").agg(F.max(F.struct("version", "graph_id", "entity_type", "members")).alias("c"))
     m = top.select("cluster_id", F.col("c.graph_id").alias("cluster_graph"), F.col("c.entity_type").alias("cluster_type"), F.explode("c.members").alias("member")).filter("member is not null").distinct()
-    e = table(spark, d, "normalized_entities").groupBy("source_key").agg(F.max(F.struct("stored_at", "row_id", "graph_id", "entity_type", "source_reliability", F.size("identifiers").alias("n"))).alias("e"))
-    return m.join(e, m.member == e.source_key, "left").select("cluster_id", "cluster_graph", "cluster_type", "member", F.col("e.graph_id").alias("graph_id"), F.col("e.entity_type").alias("entity_type"), F.lit(None).cast("timestamp").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"), F.col("e.source_reliability").alias("reliability"), F.col("e.n").alias("identifiers"))
+    rows = table(spark, d, "normalized_entities")
+    e = rows.groupBy("source_key").agg(F.max(F.struct("stored_at", "row_id", "graph_id", "entity_type", "source_reliability", F.size("identifiers").alias("n"))).alias("e"))
+    out = m.join(e, m.member == e.source_key, "left").select("cluster_id", "cluster_graph", "cluster_type", "member", F.col("e.row_id").alias("row_id"), F.col("e.graph_id").alias("graph_id"), F.col("e.entity_type").alias("entity_type"), F.col("e.source_reliability").alias("reliability"), F.col("e.n").alias("identifiers"))
+    if periods:
+        texts = rows.join(out.select("row_id").distinct(), "row_id", "left_semi")
+        at = lambda f: F.max(F.when(F.col("field") == f, F.timestamp_micros("utc_micros"))).alias(f)
+        out = out.join(normalise_timestamps(texts, table(spark, d, "source_registry")).groupBy("row_id").agg(at("valid_from"), at("valid_to")), "row_id", "left")
+    return out.drop("row_id")
 
 
 def _results(spark, d):
@@ -110,11 +117,11 @@ def _results(spark, d):
 
 
 def cluster_violations(spark, d):
-    return decide.cluster_violations(_members(spark, d), _results(spark, d)).select("cluster_id", "seq", "constraint", F.array_join("offending", ",").alias("offending"))
+    return decide.cluster_violations(_members(spark, d, periods=True), _results(spark, d)).select("cluster_id", "seq", "constraint", F.array_join("offending", ",").alias("offending"))
 
 
 def cluster_validation(spark, d):
-    m, r = _members(spark, d), _results(spark, d)
+    m, r = _members(spark, d, periods=True), _results(spark, d)
     return decide.validate_clusters(m, r, decide.cluster_violations(m, r))
 
 

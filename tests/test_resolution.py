@@ -1,5 +1,7 @@
 """Registered resolution queries on small tables, against brute force."""
 
+import datetime as dt
+
 import numpy as np
 
 from graphwright.queries import resolution
@@ -36,3 +38,17 @@ def test_decisions_not_to_link_are_evaluated(spark, tmp_path):
     m = resolution.matcher_evaluation(spark, str(tmp_path)).first()
     assert (m.tp, m.fp, m.fn, m.tn, m.samples, m.false_merge) == (1, 1, 0, 3, 5, 0.25)
     assert {(r.arm, r.tp, r.fp, r.fn, r.tn) for r in resolution.arm_comparison(spark, str(tmp_path)).collect()} == {("rules", 1, 1, 0, 3), ("name_only", 1, 1, 0, 3)}
+
+
+def test_clusters_with_disjoint_periods(spark, tmp_path):
+    at = dt.datetime(2025, 1, 1)
+    e = [(1, "a/x", "2015-01-01", "2016-01-01"), (2, "b/x", "01/03/2017", None), (3, "c/x", "2020-01-01", "2019-01-01"), (4, "d/x", None, None), (5, "e/x", "2014-05-05", "unknown")]
+    e = [(n, k, "g", "Concept", {}, f, t, None, at) for n, k, f, t in e]
+    spark.createDataFrame(e, "row_id bigint, source_key string, graph_id string, entity_type string, identifiers map<string,array<string>>, valid_from string, valid_to string, source_reliability double, stored_at timestamp").write.parquet(str(tmp_path / "normalized_entities.parquet"))
+    c = [("apart", 1, "g", "Concept", ["a/x", "b/x"]), ("one", 1, "g", "Concept", ["c/x", "d/x"]), ("open", 1, "g", "Concept", ["a/x", "e/x"]), ("three", 1, "g", "Concept", ["c/x", "a/x", "d/x"])]
+    spark.createDataFrame(c, "cluster_id string, version bigint, graph_id string, entity_type string, members array<string>").write.parquet(str(tmp_path / "clusters.parquet"))
+    spark.createDataFrame([], "left_key string, right_key string, feature_vector struct<mutually_exclusive:double>").write.parquet(str(tmp_path / "match_results.parquet"))
+    spark.createDataFrame([(s, "UTC", True) for s in "abcde"], "source string, home_zone string, day_first boolean").write.parquet(str(tmp_path / "source_registry.parquet"))
+    got = {tuple(r) for r in resolution.cluster_violations(spark, str(tmp_path)).collect()}
+    assert got == {("apart", 2, "temporal_consistency", "a/x,b/x"), ("three", 2, "temporal_consistency", "a/x,c/x")}
+    assert {r.cluster_id for r in resolution.cluster_validation(spark, str(tmp_path)).collect() if not r.valid} == {"apart", "three"}
