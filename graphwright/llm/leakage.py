@@ -190,7 +190,8 @@ def scan(auto, text: str, least_words: int = LEAST_WORDS, window: int = WINDOW)
     """(item, words, start, end) of the items that a text gives away."""
     flat = skeleton(text)
     hits = list(auto.iter(flat))
-    if len(hits) * window < least_words:
+    # so many hits hold at most their windows and one changed word between each two
+    if (window + 1) * len(hits) - 1 < least_words:
         return []
     by_item: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
     for last, (size, at) in hits:
@@ -198,7 +199,7 @@ def scan(auto, text: str, least_words: int = LEAST_WORDS, window: int = WINDOW)
             by_item[item].append((last - size + 1, last + 1, p))
     found = []
     for item, hs in by_item.items():
-        if len({p for _, _, p in hs}) * window >= least_words:
+        if (window + 1) * len({p for _, _, p in hs}) - 1 >= least_words:
             n, start, end = chain(hs, window)
             if n >= least_words:
                 found.append((item, n, start, end))

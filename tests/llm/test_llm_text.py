@@ -106,3 +106,8 @@ def test_leak_offsets_and_frame(spark):
     got = leakage.find_leaks(docs, items).collect()
     assert [(r.doc_id, r.item_id, r.start, r.end) for r in got] == [(1, 1, 8, 8 + len(ITEM) - 1)] * 2
     assert leakage.find_leaks(docs, items.limit(0)).count() == 0 and leakage.find_leaks(docs.filter(F.lit(False)), items).count() == 0
+
+
+def test_leak_with_every_fourth_word_changed():
+    w = ["changed" if k % 4 == 3 else x for k, x in enumerate(ITEM.split())]
+    assert leak(" ".join(w[:43])) == {1} and leak(" ".join(w[:39])) == set()
