@@ -78,8 +78,7 @@ def match_scores(spark, d):
 def name_similarity(spark, d):
     n = table(spark, d, "nation").select("n_name")
     a, b = n.select(F.col("n_name").alias("a")), n.select(F.col("n_name").alias("b"))
-    near = a.withColumn("k", F.substring("a", 1, 1)).join(b.withColumn("k", F.substring("b", 1, 1)), "k").filter("a <= b")
-    return near.select("a", "b", F.round(similarity.jaro(F.col("a"), F.col("b")), 6).alias("jaro"), F.round(similarity.jaro_winkler(F.col("a"), F.col("b")), 6).alias("jaro_winkler"))
+    return a.crossJoin(b).filter("a <= b").select("a", "b", F.round(similarity.jaro(F.col("a"), F.col("b")), 6).alias("jaro"), F.round(similarity.jaro_winkler(F.col("a"), F.col("b")), 6).alias("jaro_winkler"))
 
 
 def er_decisions(spark, d):

@@ -52,3 +52,9 @@ def test_clusters_with_disjoint_periods(spark, tmp_path):
     got = {tuple(r) for r in resolution.cluster_violations(spark, str(tmp_path)).collect()}
     assert got == {("apart", 2, "temporal_consistency", "a/x,b/x"), ("three", 2, "temporal_consistency", "a/x,c/x")}
     assert {r.cluster_id for r in resolution.cluster_validation(spark, str(tmp_path)).collect() if not r.valid} == {"apart", "three"}
+
+
+def test_names_of_different_first_letters(spark, tmp_path):
+    spark.createDataFrame([("MARTHA",), ("XARTHA",), ("DIXON",)], "n_name string").write.parquet(str(tmp_path / "nation.parquet"))
+    got = {(r.a, r.b): (r.jaro, r.jaro_winkler) for r in resolution.name_similarity(spark, str(tmp_path)).collect()}
+    assert len(got) == 6 and got["MARTHA", "XARTHA"] == (0.888889, 0.888889) and got["DIXON", "DIXON"] == (1.0, 1.0)
