@@ -1,24 +1,31 @@
 """Groups of linked records by low-diameter decomposition.
 
-At each level every vertex draws an exponential shift from a hash of its name;
-clusters grow from the vertices with the largest shifts and a vertex joins the
-cluster that reaches it first.  Clusters contract to super-vertices, the edges
-between clusters form the next, smaller level, and the assignments of all
-levels are composed at the end.  Nothing is collected.
+At each level every vertex draws an exponential shift from a hash of its name,
+which is its head start: a cluster grows from it one hop per unit of time, and
+a vertex belongs to the cluster that reaches it first.  Growth ends when no
+vertex can be reached sooner, at most after the largest shift.  Clusters
+contract to super-vertices, the edges between clusters form the next level,
+and the assignments of all levels are composed at the end.  Nothing is
+collected on the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphwright.operators.skew import join_to_unique
 from graphwright.session import cut
 
-#: Rate of the exponential shifts: the lower, the wider the clusters.
-BETA = 0.05
-#: Hops that clusters grow per level.
-HOPS = 2
+#: Rate of the exponential shifts: an edge ends between clusters with a probability of at most 1 - exp(-BETA); clusters have radii of at most the largest shift, about log(vertices) / BETA.
+BETA = 0.5
+#: Hops of growth per written table.
+HOPS = 3
+#: A level with at most so many directed edges is small enough for one task and is solved there.
+FINISH_EDGES = 40_000
 
 
 def _shift(v: str, level: int) -> Column:
@@ -27,16 +34,47 @@ def _shift(v: str, level: int) -> Column:
     return -F.log(u) / BETA
 
 
+def _hop(edges: DataFrame, best: DataFrame, rows: int) -> DataFrame:
+    """One hop of growth: only vertices whose time fell send it on.  (v, t, c, moved)."""
+    front = best.filter("moved").select(F.col("v").alias("src"), "t", "c")
+    sent = join_to_unique(edges, front, ["src"], rows, "inner").select(F.col("dst").alias("v"), (F.col("t") + 1).alias("t"), "c", F.lit(False).alias("own"))
+    both = best.select("v", "t", "c", F.lit(True).alias("own")).unionByName(sent)
+    out = both.groupBy("v").agg(F.min(F.struct("t", "c")).alias("b"), F.min(F.when(F.col("own"), F.struct("t", "c"))).alias("was"))
+    return out.select("v", "b.t", "b.c", (F.col("b") != F.col("was")).alias("moved"))
+
+
 def _grow(edges: DataFrame, level: int, rows: int) -> DataFrame:
-    """(v, c): the cluster of every vertex of symmetric ``edges`` (src, dst)."""
+    """(v, c): the cluster of every vertex of symmetric ``edges`` (src, dst), grown until it stands."""
     own = edges.select(F.col("src").alias("v"), (-_shift("src", level)).alias("t"), F.col("src").alias("c"))
     first = edges.select(F.col("dst").alias("v"), (1 - _shift("src", level)).alias("t"), F.col("src").alias("c"))
-    best = own.unionByName(first).groupBy("v").agg(F.min(F.struct("t", "c")).alias("b"))
-    for _ in range(HOPS - 1):
-        best = best.select("v", "b.t", "b.c")
-        sent = join_to_unique(edges, best.withColumnRenamed("v", "src"), ["src"], rows, "inner").select(F.col("dst").alias("v"), (F.col("t") + 1).alias("t"), "c")
-        best = best.unionByName(sent).groupBy("v").agg(F.min(F.struct("t", "c")).alias("b"))
-    return best.select("v", "b.c")
+    best = own.unionByName(first).groupBy("v").agg(F.min(F.struct("t", "c")).alias("b")).select("v", "b.t", "b.c", (F.col("b.c") != F.col("v")).alias("moved"))
+    while True:
+        for _ in range(HOPS):
+            best = _hop(edges, best, rows)
+        best = cut(best)
+        if best.filter("moved").isEmpty():
+            return best.select("v", "c")
+
+
+def _finish(edges: DataFrame) -> DataFrame:
+    """(v, c) of a level of at most FINISH_EDGES edges, by union-find in one task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        up: dict[str, str] = {}
+
+        def find(x: str) -> str:
+            while up.setdefault(x, x) != x:
+                up[x] = x = up.setdefault(up[x], up[x])
+            return x
+
+        for t in batches:
+            for a, b in zip(t["src"], t["dst"], strict=True):
+                a, b = find(a), find(b)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+        yield pd.DataFrame({"v": list(up), "c": [find(x) for x in up]}, columns=["v", "c"], dtype="object")
+
+    return edges.select("src", "dst").coalesce(1).mapInPandas(run, "v string, c string")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -44,14 +82,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Null ends and loops are ignored, repeated edges count once.  A cluster
     label reaches a vertex only along edges, so contraction never joins
-    vertices that are not linked, and every level with an edge left joins at
-    least one pair: the levels end.
+    vertices that are not linked.  Two linked vertices with shifts less than
+    one apart can stay apart at a level; as every level draws new shifts, about
+    exp(-BETA) of the edges end inside clusters each time, and the levels end.
     """
     e = edges.select("a", "b").filter("a is not null and b is not null and a <> b")
     e = cut(e.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(e.select(F.col("b").alias("src"), F.col("a").alias("dst"))).distinct())
     levels: list[DataFrame] = []
     while rows := e.count():
-        to = cut(_grow(e, len(levels), rows))
+        if levels and rows <= FINISH_EDGES:
+            levels.append(cut(_finish(e)))
+            break
+        to = _grow(e, len(levels), rows)
         levels.append(to)
         e = join_to_unique(e, to.select(F.col("v").alias("src"), F.col("c").alias("cs")), ["src"], rows, "inner")
         e = join_to_unique(e, to.select(F.col("v").alias("dst"), F.col("c").alias("cd")), ["dst"], rows, "inner")

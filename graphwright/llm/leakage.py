@@ -12,11 +12,15 @@ import bisect
 import html
 import re
 import unicodedata
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from graphwright.session import cut
 
 #: Consecutive item words in one pattern, and item words that a document must hold.
 WINDOW, LEAST_WORDS = 3, 40
@@ -24,8 +28,8 @@ WINDOW, LEAST_WORDS = 3, 40
 LONGEST_WORD = 24
 #: A first or last line that so many items share is an instruction, not the item's own text.
 SHARED_BY = 3
-#: Evaluation sets are held on the driver and in every task; larger ones must be split by the caller.
-MAX_ITEM_CHARS = 50_000_000
+#: Characters of items in one automaton; larger evaluation sets take one scan of the documents per so many characters.
+PART_CHARS = 2_000_000
 
 # Letters that look like Latin ones, in the case in which they do.
 LOOKALIKES = (
@@ -89,18 +93,44 @@ def skeleton_offsets(text: str) -> tuple[str, list[int]]:
     return "".join(out), at
 
 
+def _lines(text: str) -> list[tuple[str, list[str]]]:
+    """(skeleton, own words as skeletons) of every line with a letter or digit."""
+    return [(k, [w for w in map(skeleton, x.split()) if w]) for x in text.splitlines() if (k := skeleton(x))]
+
+
+def _trim(lines: list[tuple[bool, list[str]]]) -> list[str]:
+    """Words of (shared, words) lines without the shared ones at either end; one line always stays."""
+    first, last = 0, len(lines)
+    while last - first > 1 and lines[first][0]:
+        first += 1
+    while last - first > 1 and lines[last - 1][0]:
+        last -= 1
+    return [w for _, ws in lines[first:last] for w in ws]
+
+
 def item_words(texts: dict[int, str]) -> dict[int, list[str]]:
     """Own words of each item as skeletons; first and last lines that SHARED_BY or more items have are left out."""
-    lines = {i: [x for x in t.splitlines() if skeleton(x)] for i, t in texts.items()}
-    seen = Counter(s for ls in lines.values() if ls for s in {skeleton(x) for x in (ls[0], ls[-1])})
-    out = {}
-    for i, ls in lines.items():
-        while len(ls) > 1 and seen[skeleton(ls[0])] >= SHARED_BY:
-            ls = ls[1:]
-        while len(ls) > 1 and seen[skeleton(ls[-1])] >= SHARED_BY:
-            ls = ls[:-1]
-        out[i] = [s for s in (skeleton(w) for x in ls for w in x.split()) if s]
-    return out
+    lines = {i: _lines(t) for i, t in texts.items()}
+    seen = Counter(s for ls in lines.values() if ls for s in {ls[0][0], ls[-1][0]})
+    return {i: _trim([(seen[s] >= SHARED_BY, ws) for s, ws in ls]) for i, ls in lines.items()}
+
+
+def own_words(items: DataFrame) -> DataFrame:
+    """(item_id, words): the same for a table of (item_id, text), one row per item; counts of lines cover all items."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, n, s, ws, n in (0, len(ls) - 1)) for i, t in zip(b["item_id"], b["text"], strict=True) for ls in [_lines(t)] for n, (s, ws) in enumerate(ls)]
+            yield pd.DataFrame(rows, columns=["item_id", "n", "line", "words", "edge"])
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"item_id": b["item_id"], "words": [_trim([(x["shared"], list(x["words"])) for x in ls]) for ls in b["lines"]]})
+
+    lines = cut(items.select("item_id", "text").mapInPandas(split, "item_id bigint, n int, line string, words array<string>, edge boolean"))
+    shared = lines.filter("edge").select("item_id", "line").distinct().groupBy("line").agg(F.count("*").alias("k")).filter(F.col("k") >= SHARED_BY).select("line", F.lit(True).alias("shared"))
+    flagged = lines.join(shared, "line", "left").select("item_id", F.struct("n", F.coalesce("shared", F.lit(False)).alias("shared"), "words").alias("x"))
+    return flagged.groupBy("item_id").agg(F.sort_array(F.collect_list("x")).alias("lines")).mapInPandas(join, "item_id bigint, words array<string>")
 
 
 def build_automaton(words: dict[int, list[str]], window: int = WINDOW):
@@ -153,7 +183,7 @@ def chain(hits: list[tuple[int, int, int]], window: int = WINDOW) -> tuple[int,
     return len(held), path[0][0], path[-1][1]
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, least_words: int = LEAST_WORDS, part_chars: int = PART_CHARS) -> DataFrame:
     """(doc_id, item_id, words, start, end) of the documents that hold ``least_words`` words of an item.
 
     ``words`` counts the item's own words found in the item's order; ``start``
@@ -161,21 +191,36 @@ def find_leaks(documents: DataFrame, items: DataFrame, least_words: int = LEAST_
     own words than ``least_words`` cannot leak.  Null, empty and blank texts on
     either side give no row; repeated documents and items with equal texts each
     give their own rows.  Of several rows of one item_id the smallest text
-    counts.  Other columns are ignored.  The items are collected, which is
-    refused above MAX_ITEM_CHARS characters.
+    counts.  Other columns are ignored.  Items are held in tasks by parts of
+    about ``part_chars`` characters, each of which scans the documents once; an
+    item is never divided.
     """
-    from pyspark.sql import functions as F
-
     items = items.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).groupBy("item_id").agg(F.min("text").alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    if size > MAX_ITEM_CHARS:
-        raise ValueError(f"{size} characters of items; at most {MAX_ITEM_CHARS} can be held, pass them in parts")
-    words = {i: ws for i, ws in item_words({r.item_id: r.text for r in items.collect()}).items() if len(ws) >= least_words}
-    shared = documents.sparkSession.sparkContext.broadcast(words)
+    words = cut(own_words(items).filter(F.size("words") >= least_words))
+    size = words.agg(F.coalesce(F.sum(F.aggregate("words", F.lit(0).cast("bigint"), lambda n, w: n + F.length(w))), F.lit(0))).first()[0]
+    parts = max(1, -(-size // part_chars))
     schema = "doc_id bigint, item_id bigint, words int, start int, end int"
+    texts = documents.select("doc_id", "text").filter(F.col("text").isNotNull())
+    out = None
+    for part in range(parts):
+        mine = {r.item_id: list(r.words) for r in words.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).collect()}
+        found = texts.mapInPandas(_scanner(documents.sparkSession.sparkContext.broadcast(mine), least_words), schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+_AUTOMATA: dict[str, object] = {}
+
+
+def _scanner(words, least_words: int):
+    """Scan of document batches for the items of a broadcast; the automaton is built once per process."""
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        auto = build_automaton(shared.value)
+        if name not in _AUTOMATA:
+            _AUTOMATA.clear()
+            _AUTOMATA[name] = build_automaton(words.value)
+        auto = _AUTOMATA[name]
         for b in batches:
             rows = []
             for doc, text in zip(b["doc_id"], b["text"], strict=True):
@@ -183,12 +228,11 @@ def find_leaks(documents: DataFrame, items: DataFrame, least_words: int = LEAST_
                     rows += [(doc, *r) for r in scan(auto, text, least_words)]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "start", "end"])
 
-    return documents.select("doc_id", "text").filter(F.col("text").isNotNull()).mapInPandas(run, schema)
+    return run
 
 
-def scan(auto, text: str, least_words: int = LEAST_WORDS, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
-    """(item, words, start, end) of the items that a text gives away."""
-    flat = skeleton(text)
+def _chains(auto, flat: str, least_words: int, window: int) -> list[tuple[int, int, int, int]]:
+    """(item, words, start, end) in offsets of a skeleton."""
     hits = list(auto.iter(flat))
     # so many hits hold at most their windows and one changed word between each two
     if (window + 1) * len(hits) - 1 < least_words:
@@ -203,9 +247,18 @@ def scan(auto, text: str, least_words: int = LEAST_WORDS, window: int = WINDOW)
             n, start, end = chain(hs, window)
             if n >= least_words:
                 found.append((item, n, start, end))
+    return found
+
+
+def scan(auto, text: str, least_words: int = LEAST_WORDS, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
+    """(item, words, start, end) of the items that a text gives away."""
+    flat = skeleton(text)
+    found = _chains(auto, flat, least_words, window)
     if not found:
         return []
     again, at = skeleton_offsets(text)
-    if again != flat:  # a character that composes with its neighbours: offsets of the whole text
-        return [(i, n, 0, len(text)) for i, n, _, _ in found]
-    return [(i, n, at[s], at[e - 1] + 1) for i, n, s, e in found]
+    if again == flat:
+        return [(i, n, at[s], at[e - 1] + 1) for i, n, s, e in found]
+    # characters that compose with their neighbours: the spans are looked for again in the reduction that has offsets
+    own = {i: (at[s], at[e - 1] + 1) for i, _, s, e in _chains(auto, again, 1, window)}
+    return [(i, n, *own.get(i, (0, len(text)))) for i, n, _, _ in found]
