@@ -3,9 +3,13 @@
 Every attribute of a record becomes terms of one inverted index.  BM25 finds
 each record's nearest records: terms that are too common to lift a record over
 the least score that counts make no candidates (exact, because their greatest
-contributions together stay below it).  All others are judged by how names,
-identifiers, validity, place and operator agree; a pair stands if each is the other's nearest in its source, and its
-confidence is a logistic function of its score and of the gap to the runner-up.
+contributions together stay below it).  Of the others, those whose agreement
+cannot be positive by the attributes that native expressions compare are left
+out (exact as well: what is not compared yet is taken at its best); the rest are
+judged by how names, identifiers, validity, place and operator agree.  A pair
+stands if each is the other's nearest in its source and its confidence, a
+logistic function of its score and of the gap to the runner-up, calibrated on
+pairs that both carry call signs, is high enough.
 """
 
 from __future__ import annotations
@@ -16,9 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphwright.functions.similarity import haversine_km
 from graphwright.functions.text import source_of
 from graphwright.llm import spelling
 from graphwright.operators.timestamps import normalise_timestamps
@@ -28,6 +33,13 @@ from graphwright.session import cut
 K1, B, LEAST_SHARE = 1.2, 0.75, 0.3
 #: Pairs with identifiers on both sides on which the confidence is calibrated: the first so many by hash.
 CALIBRATION_ROWS = 20_000
+#: Pairs that both carry call signs are judged from this bound on their agreement: the calibration needs pairs that disagree as well.
+LABELLED_FROM = -8.0
+#: Confidence from which a pair counts as one thing.  It is high because the calibration rests on pairs with call
+#: signs, which call signs helped to propose: at equal evidence other pairs are less often the same thing.
+LEAST_CONFIDENCE = 0.9995
+#: Labels that the calibration weighs as many as, however many there are, so that it behaves alike at every size.
+LABEL_WEIGHT = 500
 DAY = 86_400_000_000
 TYPES = ("Sensor", "Station", "Venue")
 
@@ -35,6 +47,8 @@ TYPES = ("Sensor", "Station", "Venue")
 SIDES = {"north": "n nord northern nth", "south": "s sud sued southern sth", "east": "e ost est eastern", "west": "w ouest western", "upper": "upr up uppr", "lower": "lwr low lowr"}
 STRUCTURES = {
     "harbour": "harbor hbr harb", "pier": "jetty pr jty", "quarry": "pit qry qrry", "tower": "twr tow", "hall": "hse house hll", "depot": "dpt dep", "bridge": "brg br bdg", "weir": "barrage wr dam", "field": "fld fd", "ridge": "rdg rg",
+    "church": "ch kirche eglise", "school": "sch schl ecole", "lighthouse": "lt lth", "lock": "sluice lck", "canal": "cnl chan channel", "tunnel": "tnl tun", "reservoir": "resvr rsvr res", "terminal": "term trm", "warehouse": "whse wrhs", "museum": "mus", "theatre": "theater thtr",
+    "stadium": "stad arena", "library": "lib bibl", "market": "mkt mkts", "airport": "aerodrome arpt apt", "hospital": "hosp hsp", "square": "sq platz", "park": "pk prk", "mill": "mll", "mine": "mn colliery", "island": "isl isle", "mountain": "mtn berg", "river": "riv fluss", "lake": "lk lac", "valley": "vly vall",
 }
 KINDS = frozenset("sensor probe gauge gage sens station stn post sta venue site rooms room".split())
 NUMBERS = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6}
@@ -171,8 +185,8 @@ def candidates(index: DataFrame) -> DataFrame:
     return hit.select("grp", F.least("q", "d").alias("a"), F.greatest("q", "d").alias("b")).distinct()
 
 
-def agreement(x: dict, y: dict) -> float:
-    """Evidence that two records describe one thing; positive if they more likely do."""
+def agreement(x: dict, y: dict) -> tuple[float, float]:
+    """(evidence without call signs, evidence of call signs) that two records describe one thing; together positive if they more likely do."""
     s = -1.0
     pa, pb = x["place"] or x["hints"], y["place"] or y["hints"]
     if not any(spelling.alike(p, q) for p in (*pa, *x["hints"]) for q in (*pb, *y["hints"])):
@@ -205,22 +219,52 @@ def agreement(x: dict, y: dict) -> float:
         pass
     elif (b is not None and c is not None and b < c - 20 * DAY) or (d is not None and a is not None and d < a - 20 * DAY):
         s -= 8.0
-    if x["calls"] and y["calls"]:
-        s += 4.0 if set(x["calls"]) & set(y["calls"]) else 0.0 if any(spelling.distance(p, q, 1) == 1 for p in x["calls"] for q in y["calls"]) else -3.0
     if x["permits"] and y["permits"]:
         s += 0.7 if set(x["permits"]) & set(y["permits"]) else -1.0
     if x["org"] and y["org"]:
         s += 0.5 if spelling.same_org_name(tuple(x["org"]), tuple(y["org"])) else -1.0
-    return s
+    call = 0.0
+    if x["calls"] and y["calls"]:
+        call = 4.0 if set(x["calls"]) & set(y["calls"]) else 0.0 if any(spelling.distance(p, q, 1) == 1 for p in x["calls"] for q in y["calls"]) else -3.0
+    return s, call
+
+
+#: Attributes that ``most_agreement`` compares.
+BOUND_BY = ("side", "structure", "number", "lat", "lon", "since", "until", "calls", "permits")
+
+
+def most_agreement(x: Column, y: Column) -> Column:
+    """The most that ``agreement`` can come to, from the attributes in BOUND_BY: places and operators are taken to agree, call signs to be near."""
+    both = lambda k: x[k].isNotNull() & y[k].isNotNull()
+    no = lambda c: F.coalesce(c, F.lit(False))
+    s = F.lit(0.5)
+    for k in ("side", "structure"):
+        s = s + F.when(both(k), F.when(x[k] == y[k], 1.5).otherwise(-8.0)).otherwise(0.0)
+    s = s + F.when(both("number"), F.when(x["number"] == y["number"], 0.7).otherwise(-8.0)).when(F.greatest(F.coalesce(x["number"], F.lit(1)), F.coalesce(y["number"], F.lit(1))) > 1, -1.0).otherwise(0.0)
+    km = haversine_km(x["lat"], x["lon"], y["lat"], y["lon"])
+    km = F.when((km > 1) & (F.abs(y["lon"]) <= 90), F.least(km, haversine_km(x["lat"], x["lon"], y["lon"], y["lat"]))).otherwise(km)
+    s = s + F.when(~(both("lat") & both("lon")), 0.0).when(km < 0.1501, 2.5).when(km < 0.3001, 1.2).when(km < 0.5001, -0.5).when(km < 0.9001, -3.0).otherwise(-7.0)
+    wrong = no(x["until"] < x["since"]) | no(y["until"] < y["since"])
+    gap = F.abs(x["since"] - y["since"]) / DAY
+    s = s + F.when(~both("since"), 0.0).when(gap <= 31, 2.0).when((gap <= 62) | wrong, 0.0).when(gap <= 200, -4.0).otherwise(-7.0)
+    gap = F.abs(x["until"] - y["until"]) / DAY
+    s = s + F.when(~both("until"), 0.0).when(gap <= 31, 1.5).when((gap <= 62) | wrong, 0.0).otherwise(-2.0)
+    s = s + F.when(~wrong & (no(x["until"] < y["since"] - 20 * DAY) | no(y["until"] < x["since"] - 20 * DAY)), -8.0).otherwise(0.0)
+    listed = lambda k: (F.size(x[k]) > 0) & (F.size(y[k]) > 0)
+    s = s + F.when(listed("permits"), F.when(F.arrays_overlap(x["permits"], y["permits"]), 0.7).otherwise(-1.0)).otherwise(0.0)
+    return s + F.when(listed("calls") & F.arrays_overlap(x["calls"], y["calls"]), 4.0).otherwise(0.0)
 
 
 def _judge(pairs: DataFrame, things: DataFrame, index: DataFrame) -> DataFrame:
-    """(grp, a, b, ab, ba, score, label): BM25 both ways, evidence, and whether identifiers agree (null if a side has none)."""
+    """(grp, a, b, sa, sb, ab, ba, rest, call, label) of the pairs that can agree or are labelled: BM25 both ways, evidence, and whether call signs agree (null if a side has none or they are near)."""
+    some = lambda k: things.select("grp", F.col("key").alias(k), F.struct(*BOUND_BY).alias(f"{k}_"))
+    most, labelled = most_agreement(F.col("a_"), F.col("b_")), (F.size("a_.calls") > 0) & (F.size("b_.calls") > 0)
+    near = pairs.join(some("a"), ["grp", "a"]).join(some("b"), ["grp", "b"]).filter((most > 0) | (labelled & (most > LABELLED_FROM))).select("grp", "a", "b")
     own = index.groupBy("grp", "key").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("ws"))
-    full = things.drop("terms", "grp").join(own, "key")
+    full = things.drop("terms").join(own, ["grp", "key"])
     cols = [c for c in full.columns if c not in ("grp", "key")]
-    side = lambda k: full.select(F.col("key").alias(k), F.struct(*cols).alias(f"{k}_"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    side = lambda k: full.select("grp", F.col("key").alias(k), F.struct(*cols).alias(f"{k}_"))
+    both = near.join(side("a"), ["grp", "a"]).join(side("b"), ["grp", "b"])
     clean = lambda r: {k: (None if v is None or (isinstance(v, float) and math.isnan(v)) else v) for k, v in r.items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -233,27 +277,33 @@ def _judge(pairs: DataFrame, things: DataFrame, index: DataFrame) -> DataFrame:
                 for r in (x, y):
                     for k in ("place", "hints", "calls", "permits", "org"):
                         r[k] = list(r[k]) if r[k] is not None else []
-                label = float(bool(set(x["calls"]) & set(y["calls"]))) if x["calls"] and y["calls"] else None
-                rows.append((g, a, b, x["source"], y["source"], sum(wy[k] for k in shared), sum(wx[k] for k in shared), agreement(x, y), label))
-            yield pd.DataFrame(rows, columns=["grp", "a", "b", "sa", "sb", "ab", "ba", "score", "label"])
+                rest, call = agreement(x, y)
+                label = 1.0 if call > 0 else 0.0 if call < 0 else None  # call signs that differ in one letter say neither
+                rows.append((g, a, b, x["source"], y["source"], sum(wy[k] for k in shared), sum(wx[k] for k in shared), rest, call, label))
+            yield pd.DataFrame(rows, columns=["grp", "a", "b", "sa", "sb", "ab", "ba", "rest", "call", "label"])
 
-    return both.mapInPandas(run, "grp string, a string, b string, sa string, sb string, ab double, ba double, score double, label double")
+    return both.mapInPandas(run, "grp string, a string, b string, sa string, sb string, ab double, ba double, rest double, call double, label double")
 
 
 def calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights of (score, gap, 1) by regularised logistic regression; (1, 0.25, 0) if the labels cannot fix them."""
-    w = np.array([1.0, 0.25, 0.0])
+    """Weights of (score, gap, 1) by logistic regression with a prior, in Newton steps that are halved until the loss falls; the prior if the labels cannot fix them."""
+    prior = np.array([1.0, 0.25, 0.0])
     if len(y) < 50 or y.min() == y.max():
-        return w
-    prior = w.copy()
-    z = np.column_stack([np.clip(x, -20, 20), np.ones(len(x))])
-    for _ in range(30):
+        return prior
+    z, w, k = np.column_stack([np.clip(x, -20, 20), np.ones(len(x))]), prior, LABEL_WEIGHT / len(y)
+
+    def loss(v: np.ndarray) -> float:
+        t = z @ v
+        return float(k * (np.logaddexp(0, t).sum() - y @ t) + ((v - prior) ** 2).sum() / 2)
+
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        g = z.T @ (p - y) + (w - prior)
-        h = (z * (p * (1 - p))[:, None]).T @ z + np.eye(3)
-        step = np.linalg.solve(h, g)
-        w = w - step
-        if np.abs(step).max() < 1e-8:
+        step = np.linalg.solve(k * (z * (p * (1 - p))[:, None]).T @ z + np.eye(3), k * z.T @ (p - y) + (w - prior))
+        size = 1.0
+        while loss(w - size * step) > loss(w) and size > 1e-6:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-8:
             break
     return w
 
@@ -264,21 +314,22 @@ def match_things(entities: DataFrame, registry: DataFrame) -> DataFrame:
     Only rows of type Sensor, Station or Venue with a key count; records of
     different types or graphs never match.  Missing or unreadable attributes
     count neither for nor against a pair.  Of equally near records of a source
-    the one with the greater BM25 score, then the smaller key, is nearest.
-    Empty tables give no rows; other columns are ignored.
+    the one with the greater BM25 score, then the smaller key, is nearest;
+    ``gap`` is the lead over the next record of the source that can agree, 10
+    at most.  The calibration sees the evidence without call signs, which are
+    its labels.  Empty tables give no rows; other columns are ignored.
     """
     things = cut(describe(entities, registry))
     index = cut(weigh(things))
-    judged = cut(_judge(candidates(index), things, index))
-    c = judged.select("grp", F.col("a").alias("q"), F.col("b").alias("d"), F.col("sb").alias("r"), F.col("ab").alias("bm"), "score", "label")
-    c = c.unionByName(judged.select("grp", F.col("b").alias("q"), F.col("a").alias("d"), F.col("sa").alias("r"), F.col("ba").alias("bm"), "score", "label"))
+    judged = cut(_judge(candidates(index), things, index)).withColumn("score", F.col("rest") + F.col("call"))
+    c = judged.select("grp", F.col("a").alias("q"), F.col("b").alias("d"), F.col("sb").alias("r"), F.col("ab").alias("bm"), "score", "rest", "label")
+    c = c.unionByName(judged.select("grp", F.col("b").alias("q"), F.col("a").alias("d"), F.col("sa").alias("r"), F.col("ba").alias("bm"), "score", "rest", "label"))
     near = Window.partitionBy("grp", "q", "r").orderBy(F.desc("score"), F.desc("bm"), "d")
     ranked = c.withColumn("k", F.row_number().over(near)).withColumn("second", F.lead("score").over(near)).filter("k = 1")
     ranked = ranked.withColumn("gap", F.least(F.lit(10.0), F.coalesce(F.col("score") - F.col("second"), F.lit(10.0))))
     one, two = ranked.filter("q < d"), ranked.filter("q > d").select("grp", F.col("d").alias("q"), F.col("q").alias("d"), F.col("gap").alias("gap2"))
-    mutual = cut(one.join(two, ["grp", "q", "d"]).select(F.col("q").alias("left_key"), F.col("d").alias("right_key"), "score", F.least("gap", "gap2").alias("gap"), "label"))
-    rest = F.col("score") - F.when(F.col("label") == 1, 4.0).otherwise(-3.0)
-    known = mutual.filter("label is not null").orderBy(F.xxhash64("left_key", "right_key")).limit(CALIBRATION_ROWS).select(rest.alias("score"), "gap", "label").toPandas()
-    w = calibrate(known[["score", "gap"]].to_numpy(dtype=float), known["label"].to_numpy(dtype=float))
+    mutual = cut(one.join(two, ["grp", "q", "d"]).select(F.col("q").alias("left_key"), F.col("d").alias("right_key"), "score", "rest", F.least("gap", "gap2").alias("gap"), "label"))
+    known = mutual.filter("label is not null").orderBy(F.xxhash64("left_key", "right_key")).limit(CALIBRATION_ROWS).select("rest", "gap", "label").toPandas()
+    w = calibrate(known[["rest", "gap"]].to_numpy(dtype=float), known["label"].to_numpy(dtype=float))
     p = 1 / (1 + F.exp(-(F.lit(float(w[0])) * F.col("score") + F.lit(float(w[1])) * F.col("gap") + F.lit(float(w[2])))))
-    return mutual.filter("score > 0").select("left_key", "right_key", "score", "gap", p.alias("confidence"))
+    return mutual.withColumn("confidence", p).filter(F.col("confidence") >= LEAST_CONFIDENCE).select("left_key", "right_key", "score", "gap", "confidence")
