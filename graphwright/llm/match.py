@@ -40,6 +40,8 @@ LABELLED_FROM = -8.0
 LEAST_CONFIDENCE = 0.9995
 #: Labels that the calibration weighs as many as, however many there are, so that it behaves alike at every size.
 LABEL_WEIGHT = 500
+#: Weights of (score, gap, 1) before any label is seen.
+PRIOR = (2.0, 0.7, 0.0)
 DAY = 86_400_000_000
 TYPES = ("Sensor", "Station", "Venue")
 
@@ -287,7 +289,7 @@ def _judge(pairs: DataFrame, things: DataFrame, index: DataFrame) -> DataFrame:
 
 def calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights of (score, gap, 1) by logistic regression with a prior, in Newton steps that are halved until the loss falls; the prior if the labels cannot fix them."""
-    prior = np.array([1.0, 0.25, 0.0])
+    prior = np.array(PRIOR)
     if len(y) < 50 or y.min() == y.max():
         return prior
     z, w, k = np.column_stack([np.clip(x, -20, 20), np.ones(len(x))]), prior, LABEL_WEIGHT / len(y)
