@@ -77,7 +77,7 @@ def _finish(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").coalesce(1).mapInPandas(run, "v string, c string")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, least_levels: int = 1, finish: int = FINISH_EDGES) -> DataFrame:
     """(v, root) for every vertex of the undirected edges (a, b); linked vertices and no others share a root.
 
     Null ends and loops are ignored, repeated edges count once.  A cluster
@@ -85,12 +85,14 @@ def components(edges: DataFrame) -> DataFrame:
     vertices that are not linked.  Two linked vertices with shifts less than
     one apart can stay apart at a level; as every level draws new shifts, about
     exp(-BETA) of the edges end inside clusters each time, and the levels end.
+    After ``least_levels`` levels what is left is solved in one task as soon as
+    it has at most ``finish`` directed edges.
     """
     e = edges.select("a", "b").filter("a is not null and b is not null and a <> b")
     e = cut(e.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(e.select(F.col("b").alias("src"), F.col("a").alias("dst"))).distinct())
     levels: list[DataFrame] = []
     while rows := e.count():
-        if levels and rows <= FINISH_EDGES:
+        if len(levels) >= least_levels and rows <= finish:
             levels.append(cut(_finish(e)))
             break
         to = _grow(e, len(levels), rows)

@@ -19,8 +19,15 @@ NICKNAMES = {
     "margaret": "maggie peggy greta meg marge margot madge rita daisy", "matthias": "matt hias matti mat matthew", "nikolaus": "niko klaus nick nico claus nikolas nicolaus", "penelope": "penny nell pen nelly", "rebecca": "becky becca beck reba",
     "richard": "rick dick rich ricky richie", "robert": "bob bobby rob robbie bert robby", "susannah": "sue sanna susan susie susanna zuzu suzy", "thandiwe": "thandi", "theodore": "ted theo teddy", "ursula": "uschi ulla ursel",
     "victoria": "vicky tori vic vicki tory", "wilhelmina": "mina willa minna helma billie wilma", "william": "bill will billy willy liam wil", "yusuf": "yus joe yusef", "emeka": "emy", "chiara": "kia", "eleni": "leni elena", "miguel": "migue mig",
-    "oksana": "ksana oksa ksenia", "françois": "franz frank fran", "tomás": "tom tommy", "jürgen": "juergen jurgen jorg", "håkon": "haakon", "søren": "soeren", "bjørn": "bjoern", "zoë": "zoe", "łucja": "lucja lucy", "inés": "ines",
+    "oksana": "ksana oksa ksenia", "françois": "franz frank fran", "tomás": "tom tommy thomas thom", "jürgen": "juergen jurgen jorg", "håkon": "haakon", "søren": "soeren", "bjørn": "bjoern", "zoë": "zoe", "łucja": "lucja lucy", "inés": "ines",
     "kenji": "ken", "duarte": "edu", "amara": "mara", "noor": "nor", "priya": "pri", "ravi": "rav",
+    "abigail": "abby gail", "amanda": "mandy", "anastasia": "nastya stasia", "andrew": "andy drew andreas andre", "angela": "angie", "barbara": "barb babs", "caroline": "carrie caro", "charles": "charlie chuck chas karl carl", "charlotte": "lottie",
+    "christine": "chrissy tina christina", "christopher": "chris kit topher christoph", "daniel": "dan danny", "david": "dave davy", "deborah": "deb debbie", "dmitri": "dima mitya dimitri", "donald": "don donnie", "edward": "ed eddie ned eduard", "eleanor": "ellie nora",
+    "emily": "emmy", "eugene": "gene", "francisco": "paco pancho", "gabriele": "gabi gaby", "geoffrey": "geoff jeff jeffrey", "gerald": "gerry jerry", "giovanni": "gianni", "giuseppe": "beppe", "heinrich": "heinz heiner", "helena": "lena", "henry": "harry hank hal", "ignacio": "nacho",
+    "isabella": "bella izzy", "ivan": "vanya", "jacob": "jake", "jacqueline": "jackie", "james": "jim jimmy jamie", "jennifer": "jen jenny", "jessica": "jess jessie", "jonathan": "jon jonny", "joseph": "joey josef sepp", "joshua": "josh", "judith": "judy", "kenneth": "kenny",
+    "kimberly": "kim", "lawrence": "larry laurie", "louise": "lou", "luigi": "gigi", "madeleine": "maddie", "maria": "mitzi", "michael": "mike mick mikey micha michel mikhail misha", "nathaniel": "nate", "natalia": "natasha", "nicolai": "kolya", "pamela": "pam",
+    "patricia": "pat patty patsy tricia trish", "peter": "pete", "philip": "phil phillip", "philippa": "pippa", "raymond": "ray", "ronald": "ron ronnie", "samuel": "sam sammy", "sarah": "sally sadie", "sebastian": "basti seb", "stephanie": "steph steffi",
+    "stephen": "steve stevie steven stefan", "tatiana": "tanya", "teresa": "tess", "timothy": "tim timmy", "ulrich": "uli", "valerie": "val", "vincent": "vince vinny", "vladimir": "vova volodya", "walter": "walt wally", "wolfgang": "wolf", "zachary": "zach zack",
 }
 # Short forms of words in names of organisations.
 ORG_SHORT = {
@@ -50,9 +57,11 @@ def unscan(word: str) -> str:
     return word.replace("rn", "m")
 
 
-_NICK = {unscan(fold(n)): unscan(fold(k)) for k, v in NICKNAMES.items() for n in [k, *v.split()]}
+_NICK: dict[str, str] = {}
+for _full, _short in NICKNAMES.items():
+    for _n in [_full, *_short.split()]:
+        _NICK.setdefault(unscan(fold(_n)), unscan(fold(_full)))
 _SHORT = {s: k for k, v in ORG_SHORT.items() for s in v.split()}
-GIVEN = frozenset(_NICK.values())
 
 
 @lru_cache(maxsize=200_000)
@@ -84,38 +93,66 @@ def alike(a: str, b: str) -> bool:
     return a == b or (allowed > 0 and distance(a, b, 2) <= allowed)
 
 
-@lru_cache(maxsize=100_000)
-def as_given(word: str, common: frozenset[str]) -> str | None:
-    """The given name that a word is, in full form; None if it is none known."""
-    if word in _NICK:
-        return _NICK[word]
-    if word in common:
-        return word
-    if len(word) >= 4:
-        near = sorted({_NICK.get(g, g) for g in (*GIVEN, *common) if len(g) >= 4 and abs(len(g) - len(word)) <= 1 and distance(word, g, 1) == 1})
-        if len(near) == 1:
-            return near[0]
-    return None
+def _cleaned(text: str) -> tuple[list[str], list[str] | None]:
+    """Words before and after a comma that puts a surname first, titles left out; None after none."""
+    head, comma, tail = fold(text).partition(",")
+    clean = lambda s: [unscan(w) for w in _WORDS.findall(s.replace("'", "")) if w not in TITLES]
+    if comma and (rest := clean(tail)):
+        return clean(head), rest
+    return clean(head), None
+
+
+def roles(text: str) -> tuple[list[str], list[str]]:
+    """(words where given names stand, words where surnames stand) of a typed name, from its order alone; initials count for neither."""
+    first, rest = _cleaned(text)
+    head, tail = ([w for w in ws or [] if w not in PARTICLES and len(w) > 1] for ws in (first, rest))
+    if rest is not None:
+        return tail[:1], head
+    return (head[:1], head[-1:]) if len(head) > 1 else ([], [])
+
+
+class Given:
+    """Given names: the short forms in NICKNAMES and ``more`` names that a corpus puts first."""
+
+    def __init__(self, more: tuple[str, ...] = ()) -> None:
+        self.names = {w: w for w in more} | _NICK
+        self.near: dict[str, set[str]] = {}
+        for g in {*_NICK.values(), *(w for w in more if w not in _NICK)}:
+            if len(g) >= 4:
+                for d in _shortened(g, 1):
+                    self.near.setdefault(d, set()).add(g)
+        self.known: dict[str, str | None] = {}
+
+    def full(self, word: str) -> str | None:
+        """The given name that a word is, in full form, one typo allowed if it leaves one name; None if it is none known."""
+        if word not in self.known:
+            out = self.names.get(word)
+            if out is None and len(word) >= 4:
+                hits = {self.names.get(g, g) for d in _shortened(word, 1) for g in self.near.get(d, ()) if distance(word, g, 1) == 1}
+                out = hits.pop() if len(hits) == 1 else None
+            self.known[word] = out
+        return self.known[word]
 
 
-def read_person(text: str, common: frozenset[str] = frozenset()) -> tuple[tuple[str, ...], tuple[str, ...]] | None:
+@lru_cache(maxsize=1)
+def _plain_given() -> Given:
+    return Given()
+
+
+def read_person(text: str, given_names: Given | None = None) -> tuple[tuple[str, ...], tuple[str, ...]] | None:
     """(given names and initials, surname parts) of a typed name, each in full and in order; None if either is missing.
 
-    A comma puts the surname first.  Without one, words that are no known or
-    common given name are surname parts; if there is none, the last word is.
+    A comma puts the surname first.  Without one, words that are no known
+    given name are surname parts; if there is none, the last word is.
     """
-    flat = fold(text)
-    head, comma, tail = flat.partition(",")
-    if comma and not [w for w in _WORDS.findall(tail) if w not in TITLES]:
-        head, comma, tail = head, "", ""
-    clean = lambda s: [unscan(w) for w in _WORDS.findall(s.replace("'", "")) if w not in TITLES]
-    first = clean(head)
-    if comma and clean(tail):
+    full = (given_names or _plain_given()).full
+    first, rest = _cleaned(text)
+    if rest is not None:
         surname = [w for w in first if w not in PARTICLES and len(w) > 1] or first
-        given = [w if len(w) == 1 else as_given(w, common) or w for w in clean(tail) if w not in PARTICLES]
+        given = [w if len(w) == 1 else full(w) or w for w in rest if w not in PARTICLES]
     else:
         words = [w for w in first if w not in PARTICLES]
-        kinds = [(w, w if len(w) == 1 else as_given(w, common)) for w in words]
+        kinds = [(w, w if len(w) == 1 else full(w)) for w in words]
         surname = [w for w, g in kinds if g is None]
         given = [g for _, g in kinds if g is not None]
         if not surname and len(given) > 1:
@@ -206,6 +243,17 @@ def deletions(word: str) -> list[str]:
     return [word] if len(word) < 5 else sorted({word, *(word[:i] + word[i + 1 :] for i in range(len(word)))})
 
 
+def two_edit_keys(word: str) -> set[str]:
+    """Parts of a word of 7 letters or more: two such words within two edits share one, edits across the borders of the parts aside.
+
+    Either the first two letters or the last three are untouched, or one edit
+    is in each and what lies between is whole.
+    """
+    if len(word) < 7:
+        return set()
+    return {f"{word[:2]}<", f">{word[-3:]}"} | {f"={word[i : len(word) - j]}" for i in (1, 2, 3) for j in (2, 3, 4) if len(word) - i - j > 0}
+
+
 def _shortened(word: str, most: int) -> set[str]:
     """The word less up to ``most`` letters."""
     out = new = {word}

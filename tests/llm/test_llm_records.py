@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import pytest
+
 from graphwright.llm import components, match, names, spelling, survivor
 
 T = lambda d: dt.datetime(2025, 1, d)
@@ -23,10 +25,11 @@ def roots(edges):
     return {x: find(x) for x in up}
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("finish", [0, 50, 40_000])
+def test_components_against_union_find(spark, finish):
     rnd = random.Random(4)
     edges = [(f"c{i}", f"c{i + 1}") for i in range(40)] + [("hub", f"s{i}") for i in range(60)] + [(f"r{rnd.randint(0, 60)}", f"r{rnd.randint(0, 60)}") for _ in range(50)] + [(None, "x"), ("y", "y"), ("hub", "s1")]
-    got = {r.v: r.root for r in components.components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    got = {r.v: r.root for r in components.components(spark.createDataFrame(edges, "a string, b string"), finish=finish).collect()}
     want = roots(edges)
     assert set(got) == set(want)
     by_got, by_want = {}, {}
@@ -86,6 +89,44 @@ def test_reading_names():
     assert org("asr graivorkow s.a.", "Agency of Seismic Records, Graivorkow") == 1 and org("agency of crop genetics, x-town", "agency of grid safety, x-town") == 0
 
 
+def test_roles_and_given_names():
+    assert spelling.roles("Dr. Qorvin van Haldmark") == (["qorvin"], ["haldmark"]) and spelling.roles("haldmark, Q. qorvin, PhD") == (["qorvin"], ["haldmark"]) and spelling.roles("haldmark") == ([], [])
+    given = spelling.Given(("qorvin", "sellis"))
+    assert [given.full(w) for w in ("qorvin", "qorvni", "haldmark", "bob", "sel")] == ["qorvin", "qorvin", None, "robert", None]
+    assert spelling.read_person("haldmark qorvin", given) == (("qorvin",), ("haldmark",))
+    same = lambda a, b: spelling.same_person_name(spelling.read_person(a), spelling.read_person(b))
+    assert all(same(f"{a} Haldmark", f"haldmark, {b}") == 2 for a, b in (("Michael", "Mike"), ("Jim", "James"), ("Charles", "Chuck"), ("Patty", "Patricia")))
+
+
+def test_words_within_two_edits_share_a_key():
+    rnd = random.Random(5)
+    letters = "abcdefghij"
+    for _ in range(2000):
+        w = "".join(rnd.choice(letters) for _ in range(rnd.randint(8, 12)))
+        v = w
+        for _ in range(2):
+            i = rnd.randrange(len(v))
+            v = rnd.choice([v[:i] + v[i + 1 :], v[:i] + rnd.choice(letters) + v[i:], v[:i] + rnd.choice(letters) + v[i + 1 :]])
+        if min(len(w), len(v)) >= 7:
+            assert spelling.two_edit_keys(w) & spelling.two_edit_keys(v), (w, v)
+
+
+def test_short_forms_that_no_table_has(spark):
+    forms = [("qorvin", "zib"), ("sellisa", "lalo"), ("haddeus", "puck"), ("wendrith", "tosk"), ("ombrel", "jex"), ("karissol", "dunna"), ("velmior", "hag"), ("istrane", "fip")]
+    parts, rows, n = ["hald", "bren", "tosk", "wirr", "lest", "corv"], [], 0
+    for i, (long, short) in enumerate(forms):
+        for s in parts:
+            for name in (long, short):
+                rows.append(entity(n, f"s/{n:03}", "Person", [f"{name} {s}mark{'abcdefgh'[i] * 3}"], None, [f"institute of polar records, {s}{'klmnopqr'[i] * 4}"]))
+                n += 1
+    rows.append(entity(990, "s/990", "Person", ["qorvin haldmarkaaa"], None, ["agency of tidal mapping, elsewhere"]))
+    rows.append(entity(991, "s/991", "Person", ["dunna haldmarkaaa"], None, ["institute of polar records, haldkkkk"]))
+    got = {(r.left_key, r.right_key) for r in names.find_variants(spark.createDataFrame(rows, ENTITY)).collect()}
+    # the first place of work has three given names under one surname and is no evidence; its short form is linked by that of the others
+    assert got == {(f"s/{2 * i:03}", f"s/{2 * i + 1:03}") for i in range(48)}
+    assert names.find_variants(spark.createDataFrame(rows[:4], ENTITY)).count() == 0
+
+
 def test_variants(spark):
     p = lambda n, k, nm, aff, g="g": entity(n, k, "Person", nm, None, aff, graph=g)
     a, b = ["company of textile conservation, paklaisel"], ["agency of seismic records, neivailtesk"]
