@@ -111,16 +111,29 @@ def roles(text: str) -> tuple[list[str], list[str]]:
     return (head[:1], head[-1:]) if len(head) > 1 else ([], [])
 
 
+#: How many times more frequent a name must be for one a typo away to be its misspelling.
+COMMONER = 5
+
+
 class Given:
-    """Given names: the short forms in NICKNAMES and ``more`` names that a corpus puts first."""
+    """Given names: the short forms in NICKNAMES and names that a corpus puts first, with how often it does.
+
+    A name one typo from one that is COMMONER times as frequent is a misspelling of it.
+    """
 
-    def __init__(self, more: tuple[str, ...] = ()) -> None:
+    def __init__(self, more: dict[str, int] | None = None) -> None:
+        more = more or {}
         self.names = {w: w for w in more} | _NICK
         self.near: dict[str, set[str]] = {}
         for g in {*_NICK.values(), *(w for w in more if w not in _NICK)}:
             if len(g) >= 4:
                 for d in _shortened(g, 1):
                     self.near.setdefault(d, set()).add(g)
+        for w, n in more.items():
+            if w not in _NICK and len(w) >= 3:
+                hits = {g for d in _shortened(w, 1) for g in self.near.get(d, ()) if more.get(g, 0) >= COMMONER * n and distance(w, g, 1) == 1}
+                if len(hits) == 1:
+                    self.names[w] = _NICK.get(g := hits.pop(), g)
         self.known: dict[str, str | None] = {}
 
     def full(self, word: str) -> str | None:

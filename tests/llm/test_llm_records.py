@@ -91,7 +91,8 @@ def test_reading_names():
 
 def test_roles_and_given_names():
     assert spelling.roles("Dr. Qorvin van Haldmark") == (["qorvin"], ["haldmark"]) and spelling.roles("haldmark, Q. qorvin, PhD") == (["qorvin"], ["haldmark"]) and spelling.roles("haldmark") == ([], [])
-    given = spelling.Given(("qorvin", "sellis"))
+    given = spelling.Given({"qorvin": 60, "sellis": 9, "qorvn": 5, "qorbin": 40})
+    assert given.full("qorvn") == "qorvin" and given.full("qorbin") == "qorbin"
     assert [given.full(w) for w in ("qorvin", "qorvni", "haldmark", "bob", "sel")] == ["qorvin", "qorvin", None, "robert", None]
     assert spelling.read_person("haldmark qorvin", given) == (("qorvin",), ("haldmark",))
     same = lambda a, b: spelling.same_person_name(spelling.read_person(a), spelling.read_person(b))
