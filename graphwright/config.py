@@ -25,7 +25,7 @@ QUARANTINE_DEPTH, QUARANTINE_BREACHES, THROTTLE_DEPTH, TOTAL_DEPTH, HIGH_VALUE =
 # Namespaces that identify, and types on which others do.
 STRONG_NAMESPACES = ("doi", "vin")
 SCOPED_NAMESPACES = {
-    "orcid": (("person", "author", "researcher", "scientist", "contributor", "editor", "reviewer", "investigator", "inventor", "creator", "academic", "scholar", "faculty", "student", "employee", "human", "individual"), True),
+    "orcid": (("person", "people", "human", "individual", "agent", "author", "coauthor", "creator", "contributor", "researcher", "scholar", "academic", "scientist", "investigator", "editor", "reviewer", "inventor"), True),
     "issn": (("journal", "serial", "periodical"), False),
     "isbn": (("book", "monograph", "bookedition"), False),
 }
@@ -42,3 +42,24 @@ EARTH_KM = 6371.0088
 #: Samples, gain in precision: what a second arm needs before it may raise a threshold.
 GATE_SAMPLES, GATE_GAIN = 30, 0.01
 EVIDENCE_CHARS = 500
+# Profiles that come with the engine: id, source they are pinned to, identity authority, resolution mode, cost of a false merge, actions they may take alone, priority of their reviews.
+PROFILES = (
+    ("default", None, "OPEN", "ACTIVE", "STANDARD", ("AUTO_LINK", "RETAIN_SEPARATE"), "P3"),
+    ("projection_consumer", "projection", "OPEN", "INERT", "LOW", (), "P3"),
+    ("client_authoritative", None, "CLIENT_AUTHORITATIVE", "ADVISORY", "HIGH", (), "P1"),
+)
+# Advisers: template, version, what they may recommend, and what they say when they cannot tell.
+ADVISERS = {
+    "identity": ("identity_resolution", "identity/1", ("same", "different", "insufficient_evidence"), "insufficient_evidence"),
+    "assertion": ("assertion_relation", "assertion/1", ("supports", "contradicts", "supersedes", "insufficient"), "insufficient"),
+    "conflict": ("conflict_comparison", "conflict/1", ("prefer_subject", "prefer_other", "preserve_both", "route_review", "gather_more_evidence"), "preserve_both"),
+    "concept_evolution": ("concept_evolution", "concept_evolution/1", ("merge", "split", "relabel", "same_concept_different_scope", "no_change", "insufficient"), "insufficient"),
+    "ontology_evolution": ("ontology_evolution", "ontology_evolution/1", ("propose_candidate", "promotion_rationale", "no_proposal", "insufficient"), "insufficient"),
+}
+# Versions of a prompt without and with evidence text.
+PROMPT_VERSION, PROMPT_VERSION_EVIDENCE = "1", "2+evidence"
+# Fixed value: key of the payload that undoes an operation, in its reversal data.
+INVERSE_PAYLOAD_KEY = "inverse_payload"
+# Kinds of evolution that review actions lead to.
+REVIEW_KINDS = {"SPLIT": "SPLIT", "RELABEL": "RELABEL", "LINK": "MERGE", "MERGE_ELSEWHERE": "MERGE", "SAME_CONCEPT_DIFFERENT_SCOPE": "RELABEL"}
+DEFAULT_SNAPSHOT, DEFAULT_POLICY, DEFAULT_DECIDED_BY = "0", "1", "auto"

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from graphwright.functions.text import json_string
+
 # The base-32 digits of identifiers and the prefixes of their kinds.
 DIGITS = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 PREFIXES = {"operation": "op_", "assertion": "as_", "plan": "pl_", "audit": "au_", "batch": "mb_", "execution": "ex_"}
@@ -13,18 +15,15 @@ GRAPH_ID = r"^[a-z][a-z0-9_-]*$"
 
 
 def derive_token(seed: Column) -> Column:
-    """The first 16 bytes of the SHA-256 of a text as 26 base-32 digits, most significant first; null for null."""
-    hexa = F.substring(F.sha2(seed, 256), 1, 32)
-    # 130 bits: two zero bits before the 128, in pieces of 20 bits (5 hex digits, 4 base-32 digits) from the right
-    quads = [F.conv(F.substring(hexa, 33 - 5 * (k + 1), 5), 16, 10).cast("bigint") for k in range(6)]
-    top = F.conv(F.substring(hexa, 1, 2), 16, 10).cast("bigint")
-    digit = lambda n: F.substring(F.lit(DIGITS), n.cast("int") + 1, 1)
-    digits = []
-    for q in quads:
-        for i in range(4):
-            digits.append(digit(F.shiftright(q, 5 * i).bitwiseAND(F.lit(31).cast("bigint"))))
-    digits += [digit(F.shiftright(top, 5 * i).bitwiseAND(F.lit(31).cast("bigint"))) for i in range(2)]
-    return F.concat(*reversed(digits))
+    """The first 16 bytes of the SHA-256 of a text as 26 base-32 digits, most significant first; null for null.
+
+    ``conv`` writes numbers of up to 64 bits in base 32: two digits for the
+    first byte (two zero bits stand before it) and twice twelve for 60 bits;
+    its digits beyond 9 are then replaced by those of DIGITS.
+    """
+    hexa = F.sha2(seed, 256)
+    part = lambda start, n, width: F.lpad(F.conv(F.substring(hexa, start, n), 16, 32), width, "0")
+    return F.translate(F.concat(part(1, 2, 2), part(3, 15, 12), part(18, 15, 12)), "ABCDEFGHIJKLMNOPQRSTUV", DIGITS[10:])
 
 
 def derived_id(kind: str, seed: Column) -> Column:
@@ -63,15 +62,6 @@ def request_hash(*parts: Column) -> Column:
     return F.sha2(F.concat(*[F.concat(p, F.char(F.lit(0))) for p in parts]), 256)
 
 
-def json_text(value: Column) -> Column:
-    """Canonical JSON of a text: double quotes, short escapes, everything beyond ASCII escaped; null for null.
-
-    Text, whole numbers and booleans stay native; other values take
-    ``canonical_json`` below.
-    """
-    return canonical_json(F.to_json(F.struct(value.alias("v"))))
-
-
 def canonical_json(document: Column) -> Column:
     """The member ``v`` of a JSON object with sorted keys, compact and ASCII only."""
     import json
@@ -84,14 +74,16 @@ def canonical_json(document: Column) -> Column:
     return render(document)
 
 
-def record_seed(fact: Column, object_json: Column, object_identity: Column, valid_json: Column, source: Column, source_ref: Column, evidence: Column) -> Column:
-    """Seed of an assertion record: everything that makes it this record, zero bytes between; evidence keeps its order."""
-    quote = lambda c: F.concat(F.lit('"'), F.regexp_replace(c, r'(["\\\\])', r"\\$1"), F.lit('"'))
-    where = F.when(source.isNull(), F.lit("null")).otherwise(F.concat(F.lit("["), quote(source), F.lit(","), F.coalesce(quote(source_ref), F.lit("null")), F.lit("]")))
-    ev = F.concat(F.lit("["), F.array_join(F.transform(evidence, lambda e: F.concat(F.lit("["), quote(e["evidence_id"]), F.lit(","), quote(e["relationship"]), F.lit("]"))), ","), F.lit("]"))
-    zero = F.char(F.lit(0))
-    parts = [fact, F.lit("record"), F.coalesce(object_json, F.lit("null")), F.coalesce(object_identity, F.lit("")), F.coalesce(valid_json, F.lit("null")), where, ev]
-    out = parts[0]
-    for p in parts[1:]:
-        out = F.concat(out, zero, p)
-    return out
+def record_seed(fact: Column, object_json: Column, object_identity: Column, valid_from: Column, valid_to: Column, source: Column, source_ref: Column, evidence: Column) -> Column:
+    """Seed of an assertion record: what is claimed, for when, where it comes from and what it cites, zero bytes between.
+
+    ``object_json`` is canonical JSON, the bounds of the period are texts.
+    Evidence (evidence_id, relationship) keeps its order; null evidence is
+    none.  A null ``source`` says that no origin is known.
+    """
+    null = lambda c: F.coalesce(json_string(c), F.lit("null"))
+    period = F.concat(F.lit('{"valid_from":'), null(valid_from), F.lit(',"valid_to":'), null(valid_to), F.lit("}"))
+    origin = F.when(source.isNull(), F.lit("null")).otherwise(F.concat(F.lit("["), json_string(source), F.lit(","), null(source_ref), F.lit("]")))
+    cited = F.transform(evidence, lambda e: F.concat(F.lit("["), null(e["evidence_id"]), F.lit(","), null(e["relationship"]), F.lit("]")))
+    parts = [fact, F.lit("record"), F.coalesce(object_json, F.lit("null")), null(object_identity), period, origin, F.coalesce(F.concat(F.lit("["), F.array_join(cited, ","), F.lit("]")), F.lit("[]"))]
+    return F.concat(*[x for p in parts for x in (p, F.char(F.lit(0)))][:-1])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,6 +49,56 @@ def best_name_similarity(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.array_max(all_))
 
 
+def jaro_of(a: str, b: str) -> float:
+    """``jaro`` of two texts in plain Python."""
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    window, free, mine = max(max(len(a), len(b)) // 2 - 1, 0), list(b), []
+    taken = [False] * len(b)
+    for i, c in enumerate(a):
+        for j in range(max(0, i - window), min(len(b), i + window + 1)):
+            if not taken[j] and free[j] == c:
+                taken[j] = True
+                mine.append(c)
+                break
+    if not mine:
+        return 0.0
+    n = len(mine)
+    other = [c for c, t in zip(b, taken, strict=True) if t]
+    swaps = sum(x != y for x, y in zip(mine, other, strict=True)) // 2
+    return (n / len(a) + n / len(b) + (n - swaps) / n) / 3
+
+
+#: Pairs of names whose similarity a process remembers; beyond it the memory starts anew.
+REMEMBERED = 500_000
+_SEEN: dict[tuple[str, str], float] = {}
+
+
+def _winkler_of(a: str, b: str) -> float:
+    key = (a, b)
+    if key not in _SEEN:
+        if len(_SEEN) >= REMEMBERED:
+            _SEEN.clear()
+        j, k = jaro_of(a, b), 0
+        while k < min(4, len(a), len(b)) and a[k] == b[k]:
+            k += 1
+        _SEEN[key] = j + k * 0.1 * (1 - j)
+    return _SEEN[key]
+
+
+def best_name_similarity_batched(a: Column, b: Column) -> Column:
+    """``best_name_similarity`` in Arrow batches: each pair of names is compared once per process."""
+
+    @F.pandas_udf("double")
+    def best(left: pd.Series, right: pd.Series) -> pd.Series:
+        one = lambda x, y: max((_winkler_of(p, q) for p in x for q in y), default=None) if x is not None and y is not None else None
+        return pd.Series([one(x, y) for x, y in zip(left, right, strict=True)], dtype="float64")
+
+    return best(a, b)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors; null for unequal lengths, empty vectors and zero norms."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)

@@ -32,12 +32,11 @@ def counts(items: DataFrame, column: str) -> DataFrame:
 
 
 def metrics(sla: DataFrame) -> DataFrame:
-    """Depth, oldest age and breaches in total and per source, type and priority: one pass over GROUPING SETS."""
-    sla.createOrReplaceTempView("_backlog_items")
-    return sla.sparkSession.sql("""
-        SELECT CASE WHEN grouping(source) = 0 THEN 'source' WHEN grouping(entity_type) = 0 THEN 'entity_type' WHEN grouping(priority) = 0 THEN 'priority' ELSE 'all' END AS by,
-               coalesce(source, entity_type, priority) AS value, count(*) AS depth, max(age_hours) AS max_age_hours, count_if(breach) AS breaches
-        FROM _backlog_items GROUP BY GROUPING SETS ((), (source), (entity_type), (priority))""")
+    """Depth, oldest age and breaches in total and per source, type and priority: one pass over grouping sets."""
+    cols = [F.col(c) for c in ("source", "entity_type", "priority")]
+    by = F.when(F.grouping("source") == 0, "source").when(F.grouping("entity_type") == 0, "entity_type").when(F.grouping("priority") == 0, "priority").otherwise("all")
+    out = sla.groupingSets([[], *[[c] for c in cols]], *cols).agg(by.alias("by"), F.count("*").alias("depth"), F.max("age_hours").alias("max_age_hours"), F.count_if("breach").alias("breaches"))
+    return out.select("by", F.coalesce(*cols).alias("value"), "depth", "max_age_hours", "breaches")
 
 
 def source_backlog(sla: DataFrame) -> DataFrame:

@@ -33,8 +33,8 @@ def block_pairs(keys: DataFrame, max_block: int | None = None) -> tuple[DataFram
     """(left, right, channels) of the pairs that share a block, and the blocks left out as too large.
 
     Without ``max_block`` no block is left out.  The size of a block counts its
-    rows before duplicates are removed.  The join is on a hash of channel and
-    key, so AQE can split a block that is hot.
+    rows before duplicates are removed.  AQE splits a
+    block that is hot.  ``sorted_pairs`` puts the result in the order of keys.
     """
     sizes = keys.groupBy("channel", "bk").agg(F.count("*").alias("members"))
     dropped = sizes.filter(F.col("members") > max_block) if max_block is not None else sizes.limit(0)
@@ -59,3 +59,8 @@ def knn_pairs(vectors: DataFrame, queries: DataFrame, k: int = 10, block: str |
     sims = both.filter("q <> v").select("q", "v", cosine(F.col("qv"), F.col("vv")).alias("sim")).filter("sim is not null")
     near = sims.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "v"))).filter(F.col("n") <= k)
     return near.select(F.least("q", "v").alias("left"), F.greatest("q", "v").alias("right")).distinct()
+
+
+def sorted_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs in the order of their keys."""
+    return pairs.orderBy("left", "right")

@@ -69,3 +69,14 @@ def calibrate_logistic(golden: DataFrame, features: list[str], epochs: int = 400
         e = 1 / (1 + np.exp(-(x @ w + b))) - y
         w, b = w - rate * (x.T @ e / n + l2 * w), b - rate * e.sum() / n
     return dict(zip(features, w.tolist(), strict=True)), float(b)
+
+
+def er_metrics(scored: DataFrame | None, predicted: DataFrame | None, gold: DataFrame | None, assessments: DataFrame | None, threshold: float = 0.5) -> DataFrame:
+    """One row: count, pairwise and cluster precision and recall, false-merge and false-split rates, calibration error, abstention rate; null where an input is missing or empty."""
+    spark = next(df for df in (scored, predicted, assessments) if df is not None).sparkSession
+    none = lambda *names: spark.range(1).select(*[F.lit(None).cast("double").alias(n) for n in names])
+    pair = none("precision", "recall", "false_merge", "false_split", "calibration_error").withColumn("samples", F.lit(0).cast("bigint")) if scored is None else matcher_metrics(scored, threshold)
+    pair = pair.select(F.col("samples").alias("count"), F.col("precision").alias("pairwise_precision"), F.col("recall").alias("pairwise_recall"), F.col("false_merge").alias("false_merge_rate"), F.col("false_split").alias("false_split_rate"), "calibration_error")
+    clusters = none("cluster_precision", "cluster_recall") if predicted is None or gold is None else cluster_precision_recall(predicted, gold).select(F.col("precision").alias("cluster_precision"), F.col("recall").alias("cluster_recall"))
+    said = none("abstention_rate") if assessments is None else assessments.agg(F.try_divide(F.count_if("abstained"), F.count("*")).alias("abstention_rate"))
+    return pair.crossJoin(F.broadcast(clusters)).crossJoin(F.broadcast(said))

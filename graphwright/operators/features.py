@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphwright import config
 from graphwright.functions import similarity as sim
 from graphwright.functions.text import source_of
+from graphwright.operators.normalize import normalize_entity_type
 
 FEATURES = ("name_similarity", "identifier_agreement", "temporal_compatible", "geographic_distance", "shared_affiliations", "attribute_rarity", "source_reliability", "embedding_similarity", "neighborhood_compatibility", "mutually_exclusive")
 
@@ -33,7 +34,7 @@ def identity_signals(attached: DataFrame) -> DataFrame:
     shared = F.arrays_overlap(x["li"][x["namespace"]], x["ri"][x["namespace"]])
     verdict = F.when(F.col("namespace").isin(*config.STRONG_NAMESPACES), F.when(shared, "AGREE").otherwise("CONTRADICT"))
     for n, (types, contradicts) in config.SCOPED_NAMESPACES.items():
-        inside = F.col("lt").isin(*types) & F.col("rt").isin(*types)
+        inside = normalize_entity_type(F.col("lt")).isin(*types) & normalize_entity_type(F.col("rt")).isin(*types)
         verdict = verdict.when(F.col("namespace") == n, F.when(~inside, "UNKNOWN").when(shared, "AGREE").otherwise("CONTRADICT" if contradicts else "UNKNOWN"))
     return x.select("left", "right", "namespace", verdict.alias("agreement"))
 
@@ -57,21 +58,68 @@ def attribute_rarity(attached: DataFrame, signals: DataFrame, frequency: DataFra
     return vals.join(frequency, "value").groupBy("left", "right").agg(F.max(1.0 / F.col("frequency")).alias("attribute_rarity"))
 
 
-def pair_features(attached: DataFrame, signals: DataFrame, rarity: DataFrame | None = None) -> DataFrame:
-    """The ten features of each pair; a feature that cannot be computed is null, never 0."""
-    out = attached.join(identifier_agreement(signals), ["left", "right"], "left")
-    out = out.join(rarity, ["left", "right"], "left") if rarity is not None else out.withColumn("attribute_rarity", F.lit(None).cast("double"))
-    l, r = (lambda f: F.col(f"l.{f}")), (lambda f: F.col(f"r.{f}"))  # noqa: E741
-    temporal = sim.temporal_compatible(l("valid_from"), l("valid_to"), r("valid_from"), r("valid_to")) if "valid_from" in attached.schema["l"].dataType.names else F.lit(None).cast("boolean")
-    agree = F.when(F.col("agreement") == "AGREE", 1.0).when(F.col("agreement") == "CONTRADICT", -1.0)
-    return out.select(
-        "left", "right", sim.best_name_similarity(l("names"), r("names")).alias("name_similarity"), agree.alias("identifier_agreement"), temporal.cast("double").alias("temporal_compatible"),
-        sim.haversine_km(l("latitude"), l("longitude"), r("latitude"), r("longitude")).alias("geographic_distance"), sim.shared_count(l("affiliations"), r("affiliations")).cast("double").alias("shared_affiliations"),
-        "attribute_rarity", sim.both_least(l("source_reliability"), r("source_reliability")).alias("source_reliability"), sim.cosine(l("embedding"), r("embedding")).alias("embedding_similarity"),
-        sim.jaccard(l("neighbors"), r("neighbors")).alias("neighborhood_compatibility"), F.coalesce((agree == -1.0) | ~temporal, agree == -1.0, ~temporal, F.lit(False)).cast("double").alias("mutually_exclusive"),
+def with_frequency(entities: DataFrame, key: str = "source_key") -> DataFrame:
+    """Adds ``id_freq``: how many rows carry each identifier value of the row; ``entities`` has one row per key."""
+    each = entities.select(key, F.explode(F.array_distinct(F.flatten(F.map_values("ids")))).alias("value"))
+    n = each.groupBy("value").agg(F.count("*").alias("n"))
+    own = each.join(n, "value").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("value", "n"))).alias("id_freq"))
+    return entities.join(own, key, "left")
+
+
+def _verdicts(l: Column, r: Column) -> dict[str, Column]:  # noqa: E741
+    """Per namespace that can identify: 1 for agreement, -1 for contradiction, 0 for seen and not weighed, null where a side has no value."""
+    out = {}
+    for n in sorted((*config.STRONG_NAMESPACES, *config.SCOPED_NAMESPACES)):
+        x, y = F.try_element_at(l["ids"], F.lit(n)), F.try_element_at(r["ids"], F.lit(n))
+        both, shared = (F.size(x) > 0) & (F.size(y) > 0), F.arrays_overlap(x, y)
+        if n in config.STRONG_NAMESPACES:
+            out[n] = F.when(both, F.when(shared, 1).otherwise(-1))
+        else:
+            types, contradicts = config.SCOPED_NAMESPACES[n]
+            inside = l["entity_type"].isin(*types) & r["entity_type"].isin(*types)
+            out[n] = F.when(both, F.when(~inside, 0).when(shared, 1).otherwise(-1 if contradicts else 0))
+    return out
+
+
+def pair_features(pairs: DataFrame, entities: DataFrame, key: str = "source_key", rarity: bool = True, batched_names: bool = True) -> DataFrame:
+    """The ten features of each pair (left, right); a feature that cannot be computed is null, never 0.
+
+    ``entities`` is the normalised view, one row per key; columns that it lacks
+    count as null.  Everything but the names is native and computed in one pass
+    over the pairs; frequencies of identifiers are put beside the entities
+    before.  ``batched_names`` compares names in Arrow batches, else natively.
+    """
+    types = {"valid_from": "timestamp", "valid_to": "timestamp", "latitude": "double", "longitude": "double", "affiliations": "array<string>", "neighbors": "array<string>", "source_reliability": "double", "embedding": "array<double>"}
+    e = entities.select("*", *[F.lit(None).cast(t).alias(c) for c, t in types.items() if c not in entities.columns])
+    e = with_frequency(e, key) if rarity else e.withColumn("id_freq", F.lit(None).cast("map<string,bigint>"))
+    e = e.withColumn("entity_type", normalize_entity_type(F.col("entity_type")))
+    a = attach(pairs, e.select(key, "entity_type", "names", "ids", "id_freq", *types), key)
+    l, r = F.col("l"), F.col("r")  # noqa: E741
+    v = _verdicts(l, r)
+    any_ = lambda k: F.coalesce(*[F.when(c == k, True) for c in v.values()], F.lit(False))
+    agree = F.when(any_(-1), -1.0).when(any_(1), 1.0)
+    silent = F.array_compact(F.array(*[F.when(c == 0, F.lit(n)) for n, c in v.items()]))
+    spaces = F.array_except(F.array_intersect(F.map_keys(l["ids"]), F.map_keys(r["ids"])), silent)
+    shared = F.flatten(F.transform(spaces, lambda n: F.array_intersect(F.try_element_at(l["ids"], n), F.try_element_at(r["ids"], n))))
+    rare = F.array_max(F.transform(shared, lambda x: F.lit(1.0) / F.try_element_at(l["id_freq"], x)))
+    temporal = sim.temporal_compatible(l["valid_from"], l["valid_to"], r["valid_from"], r["valid_to"])
+    names = (sim.best_name_similarity_batched if batched_names else sim.best_name_similarity)(l["names"], r["names"])
+    return a.select(
+        "left", "right", names.alias("name_similarity"), agree.alias("identifier_agreement"), temporal.cast("double").alias("temporal_compatible"), sim.haversine_km(l["latitude"], l["longitude"], r["latitude"], r["longitude"]).alias("geographic_distance"),
+        sim.shared_count(l["affiliations"], r["affiliations"]).cast("double").alias("shared_affiliations"), (rare if rarity else F.lit(None).cast("double")).alias("attribute_rarity"), sim.both_least(l["source_reliability"], r["source_reliability"]).alias("source_reliability"),
+        sim.cosine(l["embedding"], r["embedding"]).alias("embedding_similarity"), sim.jaccard(l["neighbors"], r["neighbors"]).alias("neighborhood_compatibility"), F.coalesce((agree == -1.0) | ~temporal, agree == -1.0, ~temporal, F.lit(False)).cast("double").alias("mutually_exclusive"),
     )
 
 
+def run_identity_rules(attached: DataFrame, rules: list | None = None) -> DataFrame:
+    """(rule, left, right, namespace, agreement): signals of all rules (name, DataFrame -> DataFrame), in rule order by ``rule``."""
+    out = None
+    for i, (name, rule) in enumerate(rules or [("shared_strong_identifier", identity_signals)]):
+        part = rule(attached).select(F.lit(i).alias("rule_order"), F.lit(name).alias("rule"), "left", "right", "namespace", "agreement")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def linear_score(weights: dict[str, float], intercept: float, feature=F.col) -> Column:
     """Intercept plus the weighted features that are present, added in the order of their names."""
     z = F.lit(float(intercept))

@@ -82,14 +82,17 @@ def graph_of_identity(identity: Column) -> Column:
     return F.nullif(F.regexp_extract(identity, "^kg://([^/]+)/", 1), F.lit(""))
 
 
-def normalize_entities(entities: DataFrame, hooks: dict[str, dict[str, Column]] | None = None, exact: bool = False) -> DataFrame:
+def normalize_entities(entities: DataFrame, hooks: dict[str, dict[str, Column]] | None = None, exact: bool = True) -> DataFrame:
     """Normalised view of entity rows: names in first-seen order, identifiers, affiliations and neighbours as sets, coordinates as numbers.
 
     ``hooks`` adds named columns for one entity type (null for others).  Rows
-    are never merged; null arrays become empty, null maps stay null.  ``exact``
-    composes compatibility forms of names, affiliations and neighbours too.
+    are never merged; null arrays become empty, null maps stay null.  Names,
+    affiliations and neighbours are composed by compatibility unless ``exact``
+    is off, which keeps ASCII corpora out of Python.  Where the columns
+    ``display_name`` and ``full_name`` exist, they are the first and last name.
     """
-    raw = F.coalesce("normalized_names", F.array().cast("array<string>"))
+    more = [F.array(F.col(c)) if c in entities.columns else F.array().cast("array<string>") for c in ("display_name", "full_name")]
+    raw = F.concat(more[0], F.coalesce("normalized_names", F.array().cast("array<string>")), more[1])
     names = F.array_distinct(F.filter(normalize_names_exact(raw) if exact else F.transform(raw, normalize_name), lambda v: F.length(v) > 0))
     number = lambda k: F.try_element_at("attributes", F.lit(k)).try_cast("double")
     both = number("latitude").isNotNull() & number("longitude").isNotNull()
@@ -102,3 +105,26 @@ def normalize_entities(entities: DataFrame, hooks: dict[str, dict[str, Column]]
         for name, expr in extra.items():
             out = out.withColumn(name, F.when(F.col("entity_type") == kind, expr))
     return out
+
+
+def typed_float(value: Column) -> Column:
+    """A property of any JSON type as a number; booleans, texts and null give null."""
+    v = F.try_parse_json(value)
+    return F.when(F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT|TINYINT|SMALLINT)"), F.try_variant_get(v, "$", "double"))
+
+
+def typed_timestamp(value: Column) -> Column:
+    """A property as an instant; anything that is none gives null."""
+    return value.try_cast("timestamp")
+
+
+def canonical_entities(identities: DataFrame) -> DataFrame:
+    """Normalised view of canonical entities (identity_id, entity_type, display_name, identifiers): the key is the identity, the graph is read from it, there are no properties."""
+    names = normalize_names_exact(F.array("display_name"))
+    empty = F.array().cast("array<string>")
+    none = lambda t: F.lit(None).cast(t)
+    return identities.select(
+        none("bigint").alias("row_id"), F.col("identity_id").alias("source_key"), graph_of_identity(F.col("identity_id")).alias("graph_id"), normalize_entity_type(F.col("entity_type")).alias("entity_type"), F.filter(names, lambda v: F.length(v) > 0).alias("names"),
+        identifier_map(F.col("identifiers")).alias("ids"), empty.alias("affiliations"), empty.alias("neighbors"), none("double").alias("latitude"), none("double").alias("longitude"), none("double").alias("source_reliability"), none("array<double>").alias("embedding"),
+        source_of(F.col("identity_id")).alias("source"), none("timestamp").alias("stored_at"),
+    )

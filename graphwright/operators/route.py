@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphwright import config
-from graphwright.functions.hashing import identity_id
+from graphwright.functions.hashing import GRAPH_ID, identity_id
 
 SCORES = ("extraction_confidence", "source_reliability", "identity_confidence", "policy_risk")
 
@@ -37,17 +37,30 @@ def escalate(a: Column, b: Column) -> Column:
     return F.when(rank[a] >= rank[b], a).otherwise(b)
 
 
+def is_identity(ref: Column) -> Column:
+    """Whether a reference is a canonical identity (and not an alias that must be resolved first); false for null."""
+    return F.coalesce(ref.rlike(r"^kg://[a-z][a-z0-9_-]*/identity/[0-9A-Z]{26}$"), F.lit(False))
+
+
+def identity_disposition(kind: Column, subject: Column, object_: Column) -> Column:
+    """NEW_IDENTITY for entities; for attributes and relations RESOLVED_EXISTING if all their ends are identities, else UNRESOLVED; RESOLVED_EXISTING for what has no ends."""
+    known = F.when(kind == "relation", is_identity(subject) & is_identity(object_)).otherwise(is_identity(subject))
+    return F.when(kind == "entity", "NEW_IDENTITY").when(kind.isin("relation", "attribute_assertion"), F.when(known, "RESOLVED_EXISTING").otherwise("UNRESOLVED")).otherwise("RESOLVED_EXISTING")
+
+
 def route_candidates(candidates: DataFrame) -> DataFrame:
-    """Adds ``disposition``, ``route`` and, for automatic entities, the minted ``identity_id``.
+    """Adds ``disposition``, ``route``, ``identity_id`` (minted for automatic entities, the subject where all ends are known) and ``create_new_identity``.
 
-    Entities are new identities, artifacts existing ones; other kinds are
-    unresolved until both ends are known, which floors their route at
-    LLM_ASSESS.
+    The disposition is decided before the route.  ``subject`` and ``object``
+    are optional columns; without them no end is known.  An unresolved end
+    floors the route at LLM_ASSESS.
     """
-    kind = F.col("candidate_kind")
-    disposition = F.when(kind == "entity", "NEW_IDENTITY").when(kind == "artifact", "RESOLVED_EXISTING").otherwise("UNRESOLVED")
-    base = candidates.withColumn("disposition", disposition)
+    kind, none = F.col("candidate_kind"), F.lit(None).cast("string")
+    subject, object_ = (F.col(c) if c in candidates.columns else none for c in ("subject", "object"))
+    base = candidates.withColumn("disposition", identity_disposition(kind, subject, object_))
     route = confidence_route(F.col("scores"), F.col("disposition"))
     floored = F.when(F.col("disposition") == "UNRESOLVED", escalate(route, F.lit("LLM_ASSESS"))).otherwise(route)
-    minted = F.when((F.col("route") == "AUTO") & (kind == "entity"), identity_id(F.col("graph_id"), F.col("semantic_key")))
-    return base.withColumn("route", floored).withColumn("identity_id", minted)
+    new = (F.col("route") == "AUTO") & (kind == "entity")
+    # valid candidates have well-formed graphs; the check keeps an error from rows that a reordered filter has yet to drop
+    minted = F.when(new & F.col("graph_id").rlike(GRAPH_ID), identity_id(F.col("graph_id"), F.col("candidate_id"))).when(kind.isin("relation", "attribute_assertion") & (F.col("disposition") == "RESOLVED_EXISTING"), subject)
+    return base.withColumn("route", floored).withColumn("identity_id", minted).withColumn("create_new_identity", F.coalesce(new, F.lit(False)))

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from graphwright.functions import hashing
 from graphwright.operators import advise, audit, backlog, decide, evaluate, route, targeting, validate
-from graphwright.plans import compensate, evolution, planner
+from graphwright.plans import compensate, evolution, planner, records
 from graphwright.session import table
 
-NOW = "2024-01-31 00:00:00"
+NOW, LATER = "2024-01-31 00:00:00", "2030-01-01 00:00:00"
 
 
 def _ids(spark: SparkSession, d: str) -> DataFrame:
@@ -58,6 +58,7 @@ def _routed(spark, d):
         F.concat(F.lit("b"), F.col("batch").cast("string")).alias("batch_id"), F.col("o_orderkey").alias("input_seq"), F.concat(F.lit("cand_o_"), F.col("o_orderkey").cast("string")).alias("candidate_id"), F.lit("attribute_assertion").alias("candidate_kind"),
         F.when(F.col("o_orderkey") % 7 == 0, "HUMAN").otherwise("AUTO").alias("route"), F.lit(None).cast("string").alias("identity_id"), F.concat(F.lit("customer/"), F.col("batch").cast("string")).alias("subject_identity"), F.lit("order_status").alias("predicate"),
         F.col("o_orderstatus").alias("value"), F.lit(None).cast("string").alias("object_identity"), F.col("o_orderdate").alias("created_at"),
+        F.lit("orders").alias("source_type"), F.col("o_orderkey").cast("string").alias("locator"), F.array(F.struct(F.concat(F.lit("ev_"), F.col("o_orderkey").cast("string")).alias("evidence_id"), F.lit("SUPPORTS").alias("relationship"))).alias("evidence_refs"),
     )
 
 
@@ -79,8 +80,10 @@ def duplicate_mint_guard(spark, d):
 
 
 def record_backfill_collisions(spark, d):
-    li = table(spark, d, "lineitem").select(hashing.fact_key(F.concat(F.lit("supplier/"), F.col("l_suppkey").cast("string")), F.concat(F.lit("SUPPLIES/"), F.col("l_partkey").cast("string"))).alias("record"))
-    return li.groupBy("record").agg(F.count("*").alias("n")).filter("n > 1")
+    li = table(spark, d, "lineitem")
+    text = lambda *c: F.concat_ws("/", *[F.col(x).cast("string") for x in c])
+    rows = li.select(text("l_orderkey", "l_linenumber", "l_partkey").alias("assertion_id"), F.concat(F.lit("supplier/"), text("l_suppkey")).alias("subject_identity"), F.lit("SUPPLIES").alias("predicate"), F.concat(F.lit("part/"), text("l_partkey")).alias("object_identity"), F.lit("lineitem").alias("source_type"))
+    return records.backfill_collisions(rows)
 
 
 def compensation_plan(spark, d):
@@ -129,9 +132,9 @@ def backpressure(spark, d):
 def affected_by_trigger(spark, d):
     t = table(spark, d, "curation_triggers")
     res = table(spark, d, "evolution_results")
-    support = res.select(F.explode("evidence_ids").alias("evidence_id"), F.explode_outer("superseded_assertions").alias("assertion_id")).filter("assertion_id is not null").distinct()
-    aud = table(spark, d, "assertion_audit").select(F.explode("assertion_ids").alias("assertion_id"), F.col("plan_id").alias("identity_id")).filter("identity_id is not null").distinct()
-    return targeting.affected_by_trigger(t, support, aud).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("trigger_id").alias("triggers"))
+    support = res.select(F.explode("evidence_ids").alias("evidence_id"), "superseded_assertions").select("evidence_id", F.explode("superseded_assertions").alias("assertion_id")).filter("assertion_id is not null").distinct()
+    aud = table(spark, d, "assertion_audit").select(F.explode("assertion_ids").alias("assertion_id"), "plan_id").filter("plan_id is not null").groupBy("assertion_id").agg(F.min("plan_id").alias("identity_id"))
+    return targeting.affected_by_trigger(t, support, aud)
 
 
 def asof_assertions(spark, d):
@@ -153,26 +156,27 @@ def evolution_route(spark, d):
 
 def ontology_paths(spark, d):
     states = F.array(F.lit("PROPOSED"), F.lit("APPROVED"), F.lit("OBSERVED"), F.lit("DEPRECATED"))
-    p = table(spark, d, "part").select("p_partkey", F.transform(F.sequence(F.lit(0), (F.col("p_size") % 4).cast("int")), lambda i: F.get(states, F.when(F.col("p_partkey") % 3 == 0, F.lit(3) - i).otherwise(i))).alias("history"))
+    p = table(spark, d, "part").select("p_partkey", F.transform(F.sequence(F.lit(0), (F.col("p_size") % 4).cast("int")), lambda i: F.get(states, F.when(F.col("p_partkey") % 5 == 0, F.lit(3) - i).when(F.col("p_partkey") % 5 == 1, F.least(i * 2, F.lit(3))).when(F.col("p_partkey") % 5 == 2, F.when(i == 0, F.lit(0)).otherwise(F.lit(3))).otherwise(i))).alias("history"))
     return p.select("p_partkey", F.array_join("history", ">").alias("path"), evolution.legal_history(F.col("history")).alias("legal"), evolution.may_promote(F.col("history")).alias("promotable"))
 
 
 def render_evidence(spark, d):
     docs = table(spark, d, "documents").select(F.concat(F.lit("ev_"), F.col("doc_id").cast("string")).alias("evidence_id"), F.when(F.col("text").isNull(), "ABSENT").otherwise("PRESENT").alias("status"), "text")
-    asked = table(spark, d, "documents").select(F.concat(F.lit("r"), (F.col("doc_id") % 97).cast("string")).alias("request_id"), F.col("doc_id").alias("pos"), F.concat(F.lit("ev_"), (F.col("doc_id") * 2).cast("string")).alias("evidence_id"))
+    rel = F.when(F.col("doc_id") % 3 == 0, "SUPPORTS").when(F.col("doc_id") % 3 == 1, "CONTRADICTS")
+    asked = table(spark, d, "documents").select(F.concat(F.lit("r"), F.pmod("doc_id", F.lit(97)).cast("string")).alias("request_id"), F.col("doc_id").alias("pos"), F.concat(F.lit("ev_"), (F.col("doc_id") * 2).cast("string")).alias("evidence_id"), rel.alias("relationship"))
     r = advise.render_evidence(asked, docs)
-    return r.select("request_id", F.sha2("rendered", 256).alias("rendered_hash"), F.size("found").alias("found"), F.size("unresolved").alias("unresolved"))
+    return r.select("request_id", F.sha2(F.array_join("context", "\n"), 256).alias("rendered_hash"), F.size("rendered_ids").alias("found"), F.size("unresolved_ids").alias("unresolved"), "truncated")
 
 
 def adviser_fold(spark, d):
     m = table(spark, d, "match_results")
-    base = m.select(F.col("match_id").alias("pair_id"), decide.risk_route(F.col("probability"), F.col("calibration_key.consequence_class")).alias("baseline"), (F.col("match_id") % 3 != 0).alias("auto_allowed")).filter("baseline is not null")
-    said = m.select(F.col("match_id").alias("pair_id"), F.when(F.col("link_kind") == "SAME_AS", "same").when(F.col("link_kind").isNull(), "different").otherwise("insufficient").alias("recommendation"))
-    return decide.fold_assessments(base, said).groupBy("baseline", "final").agg(F.count("*").alias("n"))
+    base = m.select(F.col("match_id").alias("pair_id"), decide.risk_route(F.col("probability"), F.col("calibration_key.consequence_class")).alias("baseline"), (F.col("match_id") % 3 != 0).alias("auto_allowed"), F.when(F.col("match_id") % 7 == 0, "INERT").otherwise("ACTIVE").alias("er_mode")).filter("baseline is not null")
+    said = m.select(F.col("match_id").alias("pair_id"), F.when(F.col("link_kind") == "SAME_AS", "same").when(F.col("link_kind").isNull(), "different").otherwise("insufficient_evidence").alias("recommendation"), (F.col("match_id") % 5 == 0).alias("abstained"))
+    return decide.fold_assessments(base, said).groupBy("baseline", "final", "consulted").agg(F.count("*").alias("n"))
 
 
 def review_metrics(spark, d):
-    r = table(spark, d, "evolution_results").select(F.when(F.col("review_required"), "RECORDED").otherwise("PLANNED").alias("status"), F.when(F.col("kind") == "CONFLICT", "REJECT").otherwise("APPROVE").alias("action"), F.col("removed_at").isNotNull().alias("rolled_back"), F.lit(1.0).alias("age_hours"))
+    r = table(spark, d, "evolution_results").select(F.when(F.col("review_required"), "RECORDED").otherwise("PLANNED").alias("status"), F.when(F.col("kind") == "CONFLICT", "REJECT").otherwise("APPROVE").alias("action"), F.col("removed_at").isNotNull().alias("rolled_back"), ((F.unix_micros(F.coalesce("removed_at", F.to_timestamp(F.lit(LATER)))) - F.unix_micros("stored_at")) / 3.6e9).alias("age_hours"))
     out = evaluate.curation_metrics(r)
     return out.select("reviewed", *[F.round(c, 6).alias(c) for c in ("review_yield", "agreement", "rollback_frequency", "mean_age_hours")])
 
@@ -223,6 +227,7 @@ q AS (SELECT *, CASE WHEN coalesce(risk, 0) >= 0.5 THEN 'HUMAN'
   WHEN coalesce(scores.extraction_confidence >= 0.8, false) THEN 'LLM_ASSESS' ELSE 'HUMAN' END AS base FROM r),
 f AS (SELECT *, CASE WHEN disposition = 'UNRESOLVED' AND base = 'AUTO' THEN 'LLM_ASSESS' ELSE base END AS route FROM q)
 """
+_AS = f"""'fact_' || substr(sha256(subject || chr(0) || 'order_status'), 1, 32) || chr(0) || 'record' || chr(0) || '"' || value || '"' || chr(0) || 'null' || chr(0) || '{{"valid_from":null,"valid_to":null}}' || chr(0) || '["orders","' || input_seq || '"]' || chr(0) || '[["ev_' || input_seq || '","SUPPORTS"]]'"""
 _OPS = f"""
 o AS (SELECT 'b' || o_custkey AS batch_id, o_orderkey AS input_seq, 'cand_o_' || o_orderkey AS candidate_id, 'customer/' || o_custkey AS subject, o_orderstatus AS value FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderstatus IS NOT NULL),
 ops AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY input_seq, candidate_id) - 1 AS op_index FROM o)
@@ -240,14 +245,14 @@ c AS (SELECT fact, assertion_id, value, recorded_at, lead(assertion_id) OVER w A
 """
 _RISK = """CASE WHEN 1 - probability <= CASE cost WHEN 'LOW' THEN 0.10 WHEN 'STANDARD' THEN 0.02 WHEN 'HIGH' THEN 0.002 END THEN 'AUTO_LINK'
   WHEN 1 - probability <= CASE cost WHEN 'LOW' THEN 0.40 WHEN 'STANDARD' THEN 0.25 WHEN 'HIGH' THEN 0.10 END THEN 'LLM_ASSESS'
-  WHEN 1 - probability >= 0.90 THEN 'RETAIN' WHEN cost IN ('LOW', 'STANDARD', 'HIGH') THEN 'GATHER' END"""
+  WHEN 1 - probability >= 0.90 THEN 'RETAIN_SEPARATE' WHEN cost IN ('LOW', 'STANDARD', 'HIGH') THEN 'GATHER_MORE_EVIDENCE' END"""
 
 SQL = {
     "validate_candidates": f"""WITH {_VALID} SELECT len(reasons) = 0 AS valid,
       CASE WHEN list_contains(reasons, 'malformed graph id') OR list_contains(reasons, 'blank producer') OR list_contains(reasons, 'incompatible version') THEN 'BAD_DATA' WHEN len(reasons) > 0 THEN 'UNSUPPORTED_ONTOLOGY' END AS failure_kind,
       array_to_string(reasons, '; ') AS reasons, count(*) AS n FROM v GROUP BY 1, 2, 3""",
     "version_rule": r"""SELECT DISTINCT contract_version, coalesce(regexp_matches(contract_version, '^(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)$') AND split_part(contract_version, '.', 1) = '2' AND split_part(contract_version, '.', 2)::INT <= 3, false) AS minor_ok, coalesce(contract_version = '2.3.0', false) AS exact_ok FROM candidates""",
-    "route_candidates": f"""{_ROUTED} SELECT candidate_id, disposition, route, CASE WHEN route = 'AUTO' AND candidate_kind = 'entity' THEN 'kg://' || graph_id || '/identity/' || {_token("semantic_key")} END AS identity_id,
+    "route_candidates": f"""{_ROUTED} SELECT candidate_id, disposition, route, CASE WHEN route = 'AUTO' AND candidate_kind = 'entity' THEN 'kg://' || graph_id || '/identity/' || {_token("candidate_id")} END AS identity_id,
       (scores.extraction_confidence IS NOT NULL)::INT + (scores.source_reliability IS NOT NULL)::INT + (scores.identity_confidence IS NOT NULL)::INT + (scores.policy_risk IS NOT NULL)::INT AS scores_present FROM f""",
     "derived_ids": f"SELECT s_suppkey, 'op_' || {_token('s_name')} AS op_id, 'kg://g' || s_nationkey || '/identity/' || {_token('s_name')} AS identity FROM supplier",
     "fact_keys": f"SELECT DISTINCT l_suppkey, l_partkey, {_fact(chr(39) + 'supplier/' + chr(39) + ' || l_suppkey', chr(39) + 'SUPPLIES/' + chr(39) + ' || l_partkey')} AS fact FROM lineitem",
@@ -255,12 +260,13 @@ SQL = {
     "trigger_queue": """WITH t AS (SELECT *, concat_ws('::', trigger_kind, array_to_string(list_sort(coalesce(identity_ids, [])), '|'), array_to_string(list_sort(coalesce(evidence_ids, [])), '|'), coalesce(snapshot_version, '')) AS k FROM curation_triggers)
       SELECT trigger_kind, count(*) AS queued FROM (SELECT trigger_kind, row_number() OVER (PARTITION BY k ORDER BY stored_at, trigger_id) AS n FROM t) WHERE n = 1 GROUP BY 1""",
     "plan_operations_built": f"""WITH {_OPS} SELECT batch_id, op_index, 'op_' || {_token("candidate_id || ':ATTACH_ASSERTION'")} AS operation_id, 'ATTACH_ASSERTION' AS op_type, candidate_id,
-      'as_' || {_token("'fact_' || substr(sha256(subject || chr(0) || 'order_status'), 1, 32) || '|' || value || '|' || candidate_id")} AS assertion_id, 'ACTIVE' AS status FROM ops""",
+      'as_' || {_token(_AS)} AS assertion_id, 'ACTIVE' AS status FROM ops""",
     "plan_ids": f"""WITH {_OPS}, p AS (SELECT batch_id, string_agg(candidate_id, '|' ORDER BY op_index) || '@snap-1#policy-1' AS seed, count(*) AS candidates FROM ops GROUP BY 1) SELECT batch_id, 'pl_' || {_token("seed")} AS plan_id, candidates FROM p""",
-    "plan_preconditions": f"""WITH {_OPS} SELECT DISTINCT batch_id, 0 AS pre_index, 'snapshot' AS kind, NULL::VARCHAR AS subject, 'snap-1' AS expected FROM ops
-      UNION ALL SELECT batch_id, op_index + 1, 'assertion_absent', subject, 'as_' || {_token("'fact_' || substr(sha256(subject || chr(0) || 'order_status'), 1, 32) || '|' || value || '|' || candidate_id")} FROM ops""",
+    "plan_preconditions": f"""WITH {_OPS} SELECT DISTINCT batch_id, 0 AS pre_index, 'snapshot_version' AS kind, NULL::VARCHAR AS subject, 'snap-1' AS expected FROM ops
+      UNION ALL SELECT batch_id, op_index + 1, 'assertion_absent', subject, 'as_' || {_token(_AS)} FROM ops""",
     "duplicate_mint_guard": "SELECT plan_id, operation_id, count(*) AS mints FROM plan_operations WHERE plan_id IS NOT NULL AND operation_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1",
-    "record_backfill_collisions": f"SELECT {_fact(chr(39) + 'supplier/' + chr(39) + ' || l_suppkey', chr(39) + 'SUPPLIES/' + chr(39) + ' || l_partkey')} AS record, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1",
+    "record_backfill_collisions": f"""WITH g AS (SELECT l_suppkey AS s, l_partkey AS p, count(DISTINCT l_orderkey || '/' || l_linenumber || '/' || l_partkey) AS old_ids, min(l_orderkey || '/' || l_linenumber || '/' || l_partkey) AS least_id FROM lineitem GROUP BY 1, 2)
+      SELECT 'as_' || {_token(_fact("'supplier/' || s", "'SUPPLIES'") + """ || chr(0) || 'record' || chr(0) || 'null' || chr(0) || '"part/' || p || '"' || chr(0) || '{"valid_from":null,"valid_to":null}' || chr(0) || '["lineitem",null]' || chr(0) || '[]'""")} AS record_id, old_ids, least_id FROM g WHERE old_ids > 1""",
     "compensation_plan": f"""WITH p AS (SELECT DISTINCT plan_id, op_index, operation_id, op_type FROM plan_operations)
       SELECT plan_id, row_number() OVER (PARTITION BY plan_id ORDER BY op_index DESC, operation_id DESC, op_type DESC) - 1 AS op_index, 'op_' || {_token("operation_id || ':compensate'")} AS operation_id, {_INVERSE} AS op_type, operation_id AS undoes FROM p WHERE {_INVERSE} IS NOT NULL""",
     "not_compensable": f"SELECT DISTINCT plan_id, op_index, operation_id, op_type FROM plan_operations WHERE {_INVERSE} IS NULL",
@@ -274,26 +280,30 @@ SQL = {
     "backpressure": f"""WITH {_ITEMS}, p AS (SELECT source, count(*) AS depth, count(*) FILTER (WHERE breach) AS breaches FROM s GROUP BY 1),
       q AS (SELECT *, sum(depth) OVER () AS total, row_number() OVER (ORDER BY depth DESC, source) AS n FROM p),
       z AS (SELECT source, depth, breaches, CASE WHEN depth >= 75 OR breaches >= 5 THEN 'QUARANTINE' WHEN depth >= 25 THEN 'THROTTLE' WHEN total > 100 AND n = 1 THEN 'THROTTLE' END AS signal FROM q) SELECT * FROM z WHERE signal IS NOT NULL""",
-    "affected_by_trigger": """WITH t AS (SELECT trigger_id, identity_ids, evidence_ids FROM curation_triggers), ev AS (SELECT DISTINCT trigger_id, unnest(evidence_ids) AS e FROM t),
-      sup AS (SELECT DISTINCT a.e, b.s FROM (SELECT row_number() OVER () AS r, * FROM evolution_results) x, unnest(x.evidence_ids) AS a(e), unnest(x.superseded_assertions) AS b(s) WHERE b.s IS NOT NULL),
-      own AS (SELECT DISTINCT a.s, plan_id FROM assertion_audit, unnest(assertion_ids) AS a(s) WHERE plan_id IS NOT NULL),
-      u AS (SELECT trigger_id, 'identity' AS kind, unnest(identity_ids) AS target FROM t UNION SELECT ev.trigger_id, 'assertion', sup.s FROM ev JOIN sup ON sup.e = ev.e
-        UNION SELECT ev.trigger_id, 'identity', own.plan_id FROM ev JOIN sup ON sup.e = ev.e JOIN own ON own.s = sup.s UNION SELECT trigger_id, 'evidence', e FROM ev)
-      SELECT kind, count(*) AS n, count(DISTINCT trigger_id) AS triggers FROM u WHERE target IS NOT NULL GROUP BY 1""",
+    "affected_by_trigger": """WITH t AS (SELECT trigger_id, coalesce(identity_ids, []) AS i, coalesce(evidence_ids, []) AS e FROM curation_triggers),
+      ev AS (SELECT trigger_id, x AS e, min(pos) AS pos FROM (SELECT trigger_id, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS pos FROM t) GROUP BY 1, 2),
+      sup AS (SELECT DISTINCT e, s FROM (SELECT unnest(evidence_ids) AS e, superseded_assertions AS l FROM evolution_results), unnest(l) AS b(s) WHERE s IS NOT NULL),
+      own AS (SELECT s, min(plan_id) AS plan_id FROM (SELECT unnest(assertion_ids) AS s, plan_id FROM assertion_audit WHERE plan_id IS NOT NULL) GROUP BY 1),
+      u AS (SELECT trigger_id, '0.' || lpad((generate_subscripts(i, 1) - 1)::VARCHAR, 8, '0') AS place, unnest(i) AS target FROM t
+        UNION ALL SELECT ev.trigger_id, '3.' || lpad(pos::VARCHAR, 8, '0') || '.00000000.' || sup.s || '.0', sup.s FROM ev JOIN sup ON sup.e = ev.e
+        UNION ALL SELECT ev.trigger_id, '3.' || lpad(pos::VARCHAR, 8, '0') || '.00000000.' || sup.s || '.1', own.plan_id FROM ev JOIN sup ON sup.e = ev.e JOIN own ON own.s = sup.s),
+      f AS (SELECT trigger_id, target, min(place) AS place FROM u WHERE target IS NOT NULL GROUP BY 1, 2)
+      SELECT trigger_id, row_number() OVER (PARTITION BY trigger_id ORDER BY place, target) - 1 AS pos, target FROM f""",
     "asof_assertions": f"WITH {_CHAIN} SELECT value, count(*) AS live FROM c WHERE recorded_at <= TIMESTAMP '1996-06-30 00:00:00' AND (superseded_at IS NULL OR superseded_at > TIMESTAMP '1996-06-30 00:00:00') GROUP BY 1",
     "supersession_chain": f"WITH {_CHAIN} SELECT fact, assertion_id, superseded_by, CASE WHEN superseded_by IS NULL THEN 'ACTIVE' ELSE 'SUPERSEDED' END AS status FROM c",
     "evolution_route": """WITH c AS (SELECT e.relationship AS relationship, scores.source_reliability AS r FROM candidates, unnest(evidence_refs) AS u(e))
       SELECT relationship, CASE WHEN relationship = 'SUPPORTS' THEN 'CORROBORATION' WHEN relationship = 'SUPERSEDES' AND r >= 0.8 THEN 'SUPERSESSION' ELSE 'CONFLICT' END AS kind, count(*) AS n FROM c GROUP BY 1, 2""",
-    "ontology_paths": """WITH h AS (SELECT p_partkey, [(['PROPOSED', 'APPROVED', 'OBSERVED', 'DEPRECATED'])[1 + CASE WHEN p_partkey % 3 = 0 THEN 3 - i ELSE i END] for i in range(0, 1 + p_size % 4)] AS a FROM part)
-      SELECT p_partkey, array_to_string(a, '>') AS path, a[1] = 'PROPOSED' AS legal, array_to_string(a, '>') = 'PROPOSED>APPROVED' AS promotable FROM h""",
-    "render_evidence": r"""WITH q AS (SELECT 'r' || (doc_id % 97) AS request_id, doc_id AS pos, doc_id * 2 AS k FROM documents),
-      j AS (SELECT q.request_id, q.pos, '[ev_' || q.k || '] ' || CASE WHEN d.doc_id IS NULL THEN 'UNKNOWN' WHEN d.text IS NULL THEN 'ABSENT' ELSE 'PRESENT: ' || CASE WHEN length(t) > 500 THEN substr(t, 1, 500) || '...' ELSE t END END AS line, d.doc_id IS NOT NULL AS known
-        FROM q LEFT JOIN (SELECT *, replace(replace(replace(text, '\', '\\'), chr(13), '\r'), chr(10), '\n') AS t FROM documents) d ON d.doc_id = q.k)
-      SELECT request_id, sha256(string_agg(line, chr(10) ORDER BY pos)) AS rendered_hash, count(*) FILTER (WHERE known) AS found, count(*) FILTER (WHERE NOT known) AS unresolved FROM j GROUP BY 1""",
-    "adviser_fold": f"""WITH m AS (SELECT *, calibration_key.consequence_class AS cost FROM match_results), b AS (SELECT *, {_RISK} AS baseline FROM m)
-      SELECT baseline, CASE WHEN baseline <> 'LLM_ASSESS' THEN baseline WHEN link_kind IS NULL THEN 'RETAIN' WHEN link_kind = 'SAME_AS' THEN CASE WHEN match_id % 3 <> 0 THEN 'AUTO_LINK' ELSE 'PROPOSE' END ELSE 'GATHER' END AS final, count(*) AS n FROM b WHERE baseline IS NOT NULL GROUP BY 1, 2""",
+    "ontology_paths": """WITH h AS (SELECT p_partkey, array_to_string([(['PROPOSED', 'APPROVED', 'OBSERVED', 'DEPRECATED'])[1 + CASE p_partkey % 5 WHEN 0 THEN 3 - i WHEN 1 THEN least(i * 2, 3) WHEN 2 THEN CASE WHEN i = 0 THEN 0 ELSE 3 END ELSE i END] for i in range(0, 1 + p_size % 4)], '>') AS path FROM part)
+      SELECT p_partkey, path, path IN ('PROPOSED', 'PROPOSED>APPROVED', 'PROPOSED>DEPRECATED', 'PROPOSED>APPROVED>OBSERVED', 'PROPOSED>APPROVED>DEPRECATED', 'PROPOSED>APPROVED>OBSERVED>DEPRECATED') AS legal, path = 'PROPOSED>APPROVED' AS promotable FROM h""",
+    "render_evidence": r"""WITH q AS (SELECT 'r' || (doc_id % 97) AS request_id, doc_id AS pos, doc_id * 2 AS k, CASE doc_id % 3 WHEN 0 THEN 'SUPPORTS' WHEN 1 THEN 'CONTRADICTS' ELSE 'UNKNOWN' END AS rel FROM documents),
+      j AS (SELECT q.request_id, q.pos, '[ev_' || q.k || '] relationship=' || rel || ', availability=' || CASE WHEN d.doc_id IS NULL THEN 'UNKNOWN: not found in evidence lookup' WHEN d.text IS NULL THEN 'ABSENT: reason=UNSPECIFIED'
+          ELSE 'PRESENT: "' || replace(replace(replace(replace(substr(text, 1, 500), '\', '\\'), '"', '\"'), chr(13), '\r'), chr(10), '\n') || CASE WHEN length(text) > 500 THEN '...' ELSE '' END || '"' END AS line, d.doc_id IS NOT NULL AS known, coalesce(length(text) > 500, false) AS cut
+        FROM q LEFT JOIN documents d ON d.doc_id = q.k)
+      SELECT request_id, sha256(string_agg(line, chr(10) ORDER BY pos)) AS rendered_hash, count(*) FILTER (WHERE known) AS found, count(*) FILTER (WHERE NOT known) AS unresolved, bool_or(cut) AS truncated FROM j GROUP BY 1""",
+    "adviser_fold": f"""WITH m AS (SELECT *, calibration_key.consequence_class AS cost FROM match_results), b AS (SELECT *, {_RISK} AS baseline FROM m), c AS (SELECT *, baseline = 'LLM_ASSESS' AND match_id % 5 <> 0 AS consulted FROM b WHERE baseline IS NOT NULL)
+      SELECT baseline, CASE WHEN NOT consulted THEN baseline WHEN link_kind IS NULL THEN 'RETAIN_SEPARATE' WHEN link_kind <> 'SAME_AS' THEN 'GATHER_MORE_EVIDENCE' WHEN match_id % 3 <> 0 THEN 'AUTO_LINK' WHEN match_id % 7 = 0 THEN 'RETAIN_SEPARATE' ELSE 'PROPOSE_LINK' END AS final, consulted, count(*) AS n FROM c GROUP BY 1, 2, 3""",
     "review_metrics": """SELECT count(*) AS reviewed, round(count(*) FILTER (WHERE NOT coalesce(review_required, false)) / count(*), 6) AS review_yield, round(count(*) FILTER (WHERE kind <> 'CONFLICT' OR kind IS NULL) / count(*), 6) AS agreement,
-      round(count(*) FILTER (WHERE removed_at IS NOT NULL) / count(*), 6) AS rollback_frequency, 1.0 AS mean_age_hours FROM evolution_results""",
+      round(count(*) FILTER (WHERE removed_at IS NOT NULL) / count(*), 6) AS rollback_frequency, round(avg((epoch_us(coalesce(removed_at, TIMESTAMP '2030-01-01 00:00:00')) - epoch_us(stored_at)) / 3.6e9), 6) AS mean_age_hours FROM evolution_results""",
     "replay_check": f"""WITH m AS (SELECT *, calibration_key.consequence_class AS cost FROM match_results) SELECT (CASE WHEN {_RISK} = 'AUTO_LINK' THEN 'SAME_AS' END) IS NOT DISTINCT FROM link_kind AS reproduced, count(*) AS n FROM m GROUP BY 1""",
     "audit_refs": "SELECT audit_id, count(DISTINCT a) AS refs FROM assertion_audit, unnest(assertion_ids) AS u(a) WHERE a IS NOT NULL AND audit_id IS NOT NULL GROUP BY 1",
 }

@@ -120,6 +120,12 @@ def test_signals_and_features(spark):
     assert {r.right: r.agreement for r in features.identifier_agreement(s).collect()} == {"b": "AGREE", "c": "CONTRADICT"}
     r = features.attribute_rarity(features.attach(pairs, e), s, features.identifier_frequency(e))
     assert [(x.right, x.attribute_rarity) for x in r.collect()] == [("b", 0.5)]
+    f = {x.right: x for x in features.pair_features(pairs, e.withColumn("names", F.array(F.lit("martha"), "source_key"))).collect()}
+    assert [(f[k].identifier_agreement, f[k].attribute_rarity, f[k].mutually_exclusive, f[k].name_similarity) for k in "bcd"] == [(1.0, 0.5, 0.0, 1.0), (-1.0, None, 1.0, 1.0), (None, None, 0.0, 1.0)]
+    slow = {x.right: x for x in features.pair_features(pairs, e.withColumn("names", F.array("source_key", "entity_type")), batched_names=False).collect()}
+    fast = {x.right: x for x in features.pair_features(pairs, e.withColumn("names", F.array("source_key", "entity_type"))).collect()}
+    assert all(math.isclose(slow[k].name_similarity, fast[k].name_similarity) for k in slow)
+    assert [x.rule for x in features.run_identity_rules(features.attach(pairs, e)).select("rule").distinct().collect()] == ["shared_strong_identifier"]
 
 
 def test_normalize(spark):
@@ -145,10 +151,10 @@ def test_backlog(spark):
 def test_decisions(spark):
     p = [(x, c) for x in (0.9, 0.98, 0.9981, 0.6, 0.75, 0.1, 0.5) for c in ("LOW", "STANDARD", "HIGH", "??")]
     got = {(r.p, r.c): r.a for r in spark.createDataFrame(p, "p double, c string").select("p", "c", decide.risk_route(F.col("p"), F.col("c")).alias("a")).collect()}
-    assert got[0.9981, "HIGH"] == "AUTO_LINK" and got[0.98, "HIGH"] == "LLM_ASSESS" and got[0.1, "LOW"] == "RETAIN" and got[0.5, "HIGH"] == "GATHER" and got[0.5, "??"] is None
-    base = spark.createDataFrame([(1, "LLM_ASSESS", True), (2, "LLM_ASSESS", False), (3, "LLM_ASSESS", True), (4, "RETAIN", True), (5, "LLM_ASSESS", True)], "pair_id int, baseline string, auto_allowed boolean")
+    assert got[0.9981, "HIGH"] == "AUTO_LINK" and got[0.98, "HIGH"] == "LLM_ASSESS" and got[0.1, "LOW"] == "RETAIN_SEPARATE" and got[0.5, "HIGH"] == "GATHER_MORE_EVIDENCE" and got[0.5, "??"] is None
+    base = spark.createDataFrame([(1, "LLM_ASSESS", True), (2, "LLM_ASSESS", False), (3, "LLM_ASSESS", True), (4, "RETAIN_SEPARATE", True), (5, "LLM_ASSESS", True)], "pair_id int, baseline string, auto_allowed boolean")
     said = spark.createDataFrame([(1, "same"), (2, "same"), (3, "same"), (3, "different"), (4, "same")], "pair_id int, recommendation string")
-    assert {r.pair_id: r.final for r in decide.fold_assessments(base, said).collect()} == {1: "AUTO_LINK", 2: "PROPOSE", 3: "RETAIN", 4: "RETAIN", 5: "GATHER"}
+    assert {r.pair_id: r.final for r in decide.fold_assessments(base, said).collect()} == {1: "AUTO_LINK", 2: "PROPOSE_LINK", 3: "RETAIN_SEPARATE", 4: "RETAIN_SEPARATE", 5: "LLM_ASSESS"}
     prof = spark.createDataFrame([("g", None, None, "a"), ("g", None, None, "b"), (None, "T", "s", "c"), (None, None, None, "z")], "graph_id string, entity_type string, source string, profile_id string")
     rows = spark.createDataFrame([(1, "g", "T", "s"), (2, "g", "U", "s"), (3, None, None, None)], "n int, graph_id string, entity_type string, source string")
     assert {r.n: r.profile_id for r in decide.resolve_profiles(rows, prof).collect()} == {1: "c", 2: "b", 3: "z"}
@@ -162,7 +168,7 @@ def test_clusters(spark):
     m = spark.createDataFrame(rows, cols)
     res = spark.createDataFrame([("s/b", "s/a", 1.0), ("s/a", "r/x", 0.0)], "left string, right string, mutually_exclusive double")
     v = decide.cluster_violations(m, res)
-    assert sorted((r.constraint, r.offending) for r in v.collect()) == [("mutual_exclusion", ["s/a", "s/b"]), ("temporal_consistency", ["s/a", "s/b"]), ("tenant_boundary", ["s/b"]), ("unique_source", ["s/a", "s/b"])]
+    assert sorted((r.constraint, r.offending) for r in v.collect()) == [("pairwise_mutual_exclusion", ["s/a", "s/b"]), ("temporal_consistency", ["s/a", "s/b"]), ("tenant_boundary", ["s/b"]), ("unique_source", ["s/a", "s/b"])]
     chk = {r.cluster_id: tuple(r)[1:] for r in decide.validate_clusters(m, res, v).collect()}
     assert chk == {"c": (False, 2, 3, False), "d": (True, 0, 0, True)}
     assert {r.cluster_id: r.survivor for r in decide.select_survivor(m).collect()} == {"c": "s/b", "d": "q/1"}
@@ -187,7 +193,7 @@ def test_plans_and_store(spark, tmp_path):
     ops = planner.operations(spark.createDataFrame(rows, "batch_id string, input_seq int, candidate_id string, candidate_kind string, route string, identity_id string, subject_identity string, predicate string, value string, object_identity string, created_at timestamp"))
     got = ops.orderBy("op_index").collect()
     assert [(r.op_index, r.candidate_id, r.op_type) for r in got] == [(0, "c0", "ATTACH_ASSERTION"), (1, "c2", "ATTACH_ASSERTION"), (2, "e", "CREATE_IDENTITY")]
-    assert [r.kind for r in planner.preconditions(ops, "snap").orderBy("pre_index").collect()] == ["snapshot", "assertion_absent", "assertion_absent", "entity_version"]
+    assert [r.kind for r in planner.preconditions(ops, "snap").orderBy("pre_index").collect()] == ["snapshot_version", "assertion_absent", "assertion_absent", "entity_version"]
     assert planner.plan_ids(ops, "s", "p").count() == 1
     mine = ops.withColumn("plan_id", F.col("batch_id"))
     schema = mine.select("plan_id", "op_index", "operation_id", "op_type", "assertion_id", "status").schema
@@ -196,7 +202,7 @@ def test_plans_and_store(spark, tmp_path):
     assert executor.execute(mine, "b", 0, table).outcome == "COMMITTED" and table.published() == 1
     assert executor.execute(mine, "b", 0, table).outcome == "STALE" and executor.execute(mine, "b", 1, table).outcome == "STALE"
     assert executor.execute(mine, "none", 1, table).outcome == "EMPTY"
-    assert executor.execute(mine.withColumn("op_type", F.lit("ODD")), "b", 1, table).outcome == "UNSUPPORTED"
+    assert executor.execute(mine.withColumn("op_type", F.lit("ODD")), "b", 1, table).outcome == "UNSUPPORTED_OPERATION"
     assert executor.execute(mine.unionByName(mine), "b", 1, table).outcome == "ERROR"
     with pytest.raises(store.DuplicateKeyError):
         table.append(mine)
@@ -223,7 +229,10 @@ def test_evolution(spark):
     assert [(x.assertion_id, x.superseded_by, x.status) for x in evolution.supersession_chain(r).orderBy("recorded_at").collect()] == [("a", "b", "SUPERSEDED"), ("b", "d", "SUPERSEDED"), ("d", None, "ACTIVE")]
     h = spark.createDataFrame([(1, ["PROPOSED", "APPROVED"]), (2, ["PROPOSED", "OBSERVED"]), (3, []), (4, None), (5, ["APPROVED"]), (6, ["PROPOSED"])], "n int, h array<string>")
     assert {x.n: (x.a, x.b) for x in h.select("n", evolution.legal_history(F.col("h")).alias("a"), evolution.may_promote(F.col("h")).alias("b")).collect()} == {1: (True, True), 2: (False, False), 3: (False, False), 4: (False, False), 5: (False, False), 6: (True, False)}
-    assert one(spark, evolution.superseded_pointer(F.lit('{"superseded_by": "x"}'), F.lit("x"))) is None
+    ptr = lambda x: one(spark, evolution.superseded_pointer(F.col("s")), s=(x, "string"))
+    assert [ptr(x) for x in ('{"superseded_by": "x", "assertion_id": "y"}', '{"superseded_by": 7}', "{}", None, "no json")] == ["x", None, None, None, None]
+    with pytest.raises(Exception, match="supersedes itself"):
+        ptr('{"superseded_by": "x", "assertion_id": "x"}')
     m = spark.createDataFrame([("c", "a"), ("c", "b"), ("d", "q")], "cluster_id string, member string")
     s = spark.createDataFrame([("c", "a"), ("d", "q")], "cluster_id string, survivor string")
     assert [(x.into, x.merged) for x in evolution.merge_operations(s, m).collect()] == [("a", ["b"])]
@@ -234,14 +243,21 @@ def test_targets_and_advice(spark):
     sup = spark.createDataFrame([("e1", "a1"), ("e1", "a2")], "evidence_id string, assertion_id string")
     own = spark.createDataFrame([("a1", "i1")], "assertion_id string, identity_id string")
     t = spark.createDataFrame([("t", ["i9"], ["e1", "e1"]), ("u", None, None)], "trigger_id string, identity_ids array<string>, evidence_ids array<string>")
-    assert sorted((r.kind, r.target) for r in targeting.affected_by_trigger(t, sup, own).collect()) == [("assertion", "a1"), ("assertion", "a2"), ("evidence", "e1"), ("identity", "i1"), ("identity", "i9")]
-    asked = spark.createDataFrame([("r", 1, "b"), ("r", 0, "a"), ("r", 2, "zz")], "request_id string, pos int, evidence_id string")
-    ev = spark.createDataFrame([("a", "PRESENT", "x\ny" + "q" * 600), ("b", "ERROR", "hidden")], "evidence_id string, status string, text string")
+    assert [(r.pos, r.target) for r in targeting.affected_by_trigger(t, sup, own).orderBy("pos").collect()] == [(0, "i9"), (1, "a1"), (2, "i1"), (3, "a2")]
+    full = spark.createDataFrame([("t", ["al"], ["a9"], ["concept", "al2"], None)], "trigger_id string, identity_ids array<string>, assertion_ids array<string>, concept_keys array<string>, evidence_ids array<string>")
+    alias = spark.createDataFrame([("al", "id1"), ("al2", "id2")], "key string, identity_id string")
+    assert [r.target for r in targeting.affected_by_trigger(full, sup, own, alias).orderBy("pos").collect()] == ["id1", "a9", "concept", "id2"]
+    asked = spark.createDataFrame([("r", 1, "b", None), ("r", 0, 'a"', "SUPPORTS"), ("r", 2, "zz", None), ("r", 3, "n", None)], "request_id string, pos int, evidence_id string, relationship string")
+    ev = spark.createDataFrame([('a"', "PRESENT", "x\ny" + "q" * 600, None), ("b", "ERROR", "hidden", 'bad "x"'), ("n", "ABSENT", None, None)], "evidence_id string, status string, text string, detail string")
     r = advise.render_evidence(asked, ev).first()
-    assert r.rendered.split("\n")[1:] == ["[b] ERROR", "[zz] UNKNOWN"] and r.rendered.split("\n")[0].endswith("...") and r.unresolved == ["zz"]
-    ans = [('{"recommendation": "same", "confidence": 1.7, "citations": ["a", "x"]}', (False, "same", 1.0, ["a"])), ('{"recommendation": "odd", "confidence": 1}', (True, None, None, None)), ('{"recommendation": "same", "confidence": true}', (True, None, None, None)), ("no json", (True, None, None, None)), (None, (True, None, None, None))]
+    assert r.context == ['[a\\"] relationship=SUPPORTS, availability=PRESENT: "x\\ny' + "q" * 497 + '..."', '[b] relationship=UNKNOWN, availability=ERROR: error="bad \\"x\\""', "[zz] relationship=UNKNOWN, availability=UNKNOWN: not found in evidence lookup", "[n] relationship=UNKNOWN, availability=ABSENT: reason=UNSPECIFIED"]
+    assert r.unresolved_ids == ["zz"] and r.truncated and r.rendered_ids == ['a"', "b", "n"]
+    with pytest.raises(ValueError):
+        advise.render_evidence(asked, ev, 0)
+    none = (True, "insufficient", None, ["a"])
+    ans = [('{"recommendation": "same", "confidence": 1.7, "evidence_ids": ["a", "x"]}', (False, "same", 1.0, ["a"])), ('{"recommendation": "odd", "confidence": 1}', none), ('{"recommendation": "same", "confidence": true}', (False, "same", None, [])), ('{"recommendation": 7}', none), ("[1]", none), ("no json", none), (None, none)]
     for raw, want in ans:
-        assert tuple(one(spark, advise.parse_answer(F.col("s"), ["same", "different"], F.array(F.lit("a"))), s=(raw, "string"))) == want
+        assert tuple(one(spark, advise.parse_answer(F.col("s"), ["same", "different"], F.array(F.lit("a"))), s=(raw, "string")))[:4] == want
 
 
 def test_streaming_queue(spark, tmp_path):
@@ -254,11 +270,10 @@ def test_streaming_queue(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.trigger_id for r in spark.table("trig").collect()) == ["t1", "t2"]
-    seen = []
-    sink = queue.publish_epochs(lambda b, i: seen.append(i))
+    table = store.AppendOnlyTable(spark, str(tmp_path / "epochs"), "n bigint")
     for i in (0, 1, 1, 0, 2):
-        sink(None, i)
-    assert seen == [0, 1, 2]
+        queue.publish_epochs(table, "s")(spark.range(1).select(F.lit(i).alias("n")), i)
+    assert table.published() == 3 and sorted(r.n for r in table.read().collect()) == [0, 1, 2] and table.last_batch("s") == 2 and table.last_batch("other") == -1
 
 
 def test_entry_points():
