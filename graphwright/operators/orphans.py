@@ -1,13 +1,15 @@
 """References to rows that do not exist, were removed, or came too late.
 
-Method: a Bloom filter of all parent keys (bounded at 8 MiB) is probed where
-the references are scanned.  A negative is a proven orphan and takes no join.
-Only the positives are joined exactly, against one summary row per parent key.
+Method: a Bloom filter of all parent keys (sized by their number, 32 MiB at
+most) is probed where the references are scanned.  A negative is a proven orphan
+and takes no join.  Only the positives are joined exactly, against one summary
+row per parent key; the few that a summary cannot decide are swept together
+with the versions of their parents in the order of time, day by day.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphwright.functions.text import strip_blanks
@@ -82,15 +84,29 @@ def find_orphans(audit: DataFrame, parents: DataFrame) -> DataFrame:
     judged = cut(found.withColumn("reason", verdict).filter(F.col("reason").isNotNull()).select("audit_id", "field", "ref_id", "recorded_at", "reason"))
     open_ = judged.filter(F.col("reason") == "open")
     asked = open_.select("field", "ref_id", "recorded_at").distinct()
-    alive = (
-        asked.alias("q").join(parents.alias("p"), (F.col("q.field") == F.col("p.field")) & (F.col("q.ref_id") == F.col("p.ref_id")) & (F.col("p.stored_at") <= F.col("q.recorded_at")))
-        .filter(F.coalesce("p.removed_at", F.expr(FOREVER)) > F.col("q.recorded_at")).select("q.field", "q.ref_id", "q.recorded_at").distinct()
-    )
-    deleted = open_.join(alive, ["field", "ref_id", "recorded_at"], "left_anti").withColumn("reason", F.lit("deleted"))
+    deleted = open_.join(_alive(asked, parents), ["field", "ref_id", "recorded_at"], "left_anti").withColumn("reason", F.lit("deleted"))
     cols = ["audit_id", "field", "ref_id", "recorded_at", "reason"]
     return proven.select(cols).unionByName(judged.filter(F.col("reason") != "open")).unionByName(deleted.select(cols)).distinct()
 
 
+def _alive(asked: DataFrame, parents: DataFrame) -> DataFrame:
+    """The rows of ``asked`` (field, ref_id, recorded_at) at whose time some version, stored by then, was not removed.
+
+    That is the greatest removal time of the versions stored so far: within the
+    day by a running maximum, before it by one of the days.  So a key with any
+    number of versions and questions is split by days and nothing is paired.
+    """
+    key = ["field", "ref_id"]
+    mine = parents.filter(F.col("stored_at").isNotNull()).join(asked.select(*key).distinct(), key, "left_semi")
+    gone = F.coalesce("removed_at", F.expr(FOREVER)).alias("gone")
+    line = mine.select(*key, F.col("stored_at").alias("at"), gone, F.lit(0).alias("q")).unionByName(asked.select(*key, F.col("recorded_at").alias("at"), F.lit(None).cast("timestamp").alias("gone"), F.lit(1).alias("q")))
+    line = line.withColumn("day", F.date_trunc("day", "at"))
+    days = line.groupBy(*key, "day").agg(F.max("gone").alias("most"))
+    before = days.withColumn("before", F.max("most").over(Window.partitionBy(*key).orderBy("day").rowsBetween(Window.unboundedPreceding, -1))).select(*key, "day", "before")
+    line = line.withColumn("so_far", F.max("gone").over(Window.partitionBy(*key, "day").orderBy("at", "q").rowsBetween(Window.unboundedPreceding, 0))).filter("q = 1").join(before, [*key, "day"])
+    return line.filter(F.greatest("so_far", "before") > F.col("at")).select(*key, F.col("at").alias("recorded_at"))
+
+
 def orphan_report(audit: DataFrame, parents: DataFrame) -> DataFrame:
     """Per field and month of ``recorded_at`` (null for none): references, missing, late, deleted.
 

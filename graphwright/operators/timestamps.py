@@ -173,11 +173,17 @@ def _convert(kind: str, s: pd.Series, home: pd.Series, day_first: pd.Series) ->
     zone = get("z").to_numpy(dtype=object)
     home_v = home.to_numpy(dtype=object)
     named = np.array([z if isinstance(z, str) else None for z in zone], dtype=object)
-    where: dict[tuple, list[int]] = {}
-    for i in np.flatnonzero(ok):
-        where.setdefault((named[i], home_v[i] if named[i] is None or named[i].isalpha() else None, bool(timed[i])), []).append(i)
-    for (z, h, t), rows in where.items():
-        rows = np.array(rows)
+    # one conversion per zone named, home zone where that matters, and texts with or without a time
+    zone_code, zone_names = pd.factorize(pd.Series(named, dtype=object))
+    home_code, home_names = pd.factorize(pd.Series(home_v, dtype=object))
+    local = np.array([*(str(x).isalpha() for x in zone_names), True])[zone_code]
+    home_code = np.where(local, home_code, -1)
+    at = np.flatnonzero(ok)
+    mixed = ((zone_code + 1) * (len(home_names) + 1) + home_code + 1) * 2 + timed
+    _, start, group = np.unique(mixed[at], return_index=True, return_inverse=True)
+    for k, first in enumerate(at[start]):
+        rows = at[group == k]
+        z, h, t = (zone_names[zone_code[first]] if zone_code[first] >= 0 else None), (home_names[home_code[first]] if home_code[first] >= 0 else None), bool(timed[first])
         fixed = _fixed_offset(z, h) if z is not None else None
         if fixed is not None:
             utc[rows] = wall[rows] - fixed * 60
