@@ -35,9 +35,9 @@ K1, B, LEAST_SHARE = 1.2, 0.75, 0.3
 CALIBRATION_ROWS = 20_000
 #: Pairs that both carry call signs are judged from this bound on their agreement: the calibration needs pairs that disagree as well.
 LABELLED_FROM = -8.0
-#: Confidence from which a pair counts as one thing.  It is high because the calibration rests on pairs with call
-#: signs, which call signs helped to propose: at equal evidence other pairs are less often the same thing.
-LEAST_CONFIDENCE = 0.9995
+#: Confidence from which a pair counts as one thing, and the evidence that it needs besides: the calibration rests on
+#: pairs with call signs, which call signs helped to propose, so it alone would accept pairs whose evidence speaks against them.
+LEAST_CONFIDENCE, LEAST_SCORE = 0.5, 0.0
 #: Labels that the calibration weighs as many as, however many there are, so that it behaves alike at every size.
 LABEL_WEIGHT = 500
 #: Weights of (score, gap, 1) before any label is seen.
@@ -334,4 +334,4 @@ def match_things(entities: DataFrame, registry: DataFrame) -> DataFrame:
     known = mutual.filter("label is not null").orderBy(F.xxhash64("left_key", "right_key")).limit(CALIBRATION_ROWS).select("rest", "gap", "label").toPandas()
     w = calibrate(known[["rest", "gap"]].to_numpy(dtype=float), known["label"].to_numpy(dtype=float))
     p = 1 / (1 + F.exp(-(F.lit(float(w[0])) * F.col("score") + F.lit(float(w[1])) * F.col("gap") + F.lit(float(w[2])))))
-    return mutual.withColumn("confidence", p).filter(F.col("confidence") >= LEAST_CONFIDENCE).select("left_key", "right_key", "score", "gap", "confidence")
+    return mutual.withColumn("confidence", p).filter((F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("score") > LEAST_SCORE)).select("left_key", "right_key", "score", "gap", "confidence")
