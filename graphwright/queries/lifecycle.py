@@ -302,8 +302,8 @@ SQL = {
       coalesce(len(evidence_refs), 0) AS evidence, epoch_us(TIMESTAMP '2025-06-01 00:00:00') AS recorded_at FROM p""",
     "record_ids": f"SELECT 'old_' || o_orderkey AS assertion_id, {_fact(chr(39) + 'customer/' + chr(39) + ' || o_custkey', chr(39) + 'order_status' + chr(39))} AS fact, 'as_' || {_token(_SEED.format(value='o_orderstatus'))} AS record_id FROM orders",
     "next_records": f"""SELECT 'old_' || o_orderkey AS prior_id, CASE WHEN o_orderkey % 4 = 0 AND o_orderstatus <> 'F' THEN 'as_' || {_token(_SEED.format(value="'F'"))} END AS assertion_id, CASE WHEN o_orderkey % 4 = 0 AND o_orderstatus <> 'F' THEN 'ACTIVE' ELSE 'REPLAY' END AS status FROM orders""",
-    "compensation_payloads": f"""WITH {_OPS} SELECT 'pl_' || {_token("plan || ':compensate'")} AS plan_id, row_number() OVER (PARTITION BY plan ORDER BY i DESC) - 1 AS op_index, 'op_' || {_token("'op_' || " + _token("cand || ':ATTACH_ASSERTION'") + " || ':compensate'")} AS operation_id, 'RETRACT_ASSERTION' AS op_type,
-      'op_' || {_token("cand || ':ATTACH_ASSERTION'")} AS undoes, 'as_' || {_token(_AS)} AS assertion_id, 'SUPERSEDED' AS new_status, strftime(made, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS superseded_at, value AS restores FROM ops""",
+    "compensation_payloads": f"""WITH {_OPS}, u AS (SELECT *, 'op_' || {_token("cand || ':ATTACH_ASSERTION'")} AS undoes FROM ops) SELECT 'pl_' || {_token("plan || ':compensate'")} AS plan_id, row_number() OVER (PARTITION BY plan ORDER BY i DESC) - 1 AS op_index, 'op_' || {_token("undoes || ':compensate'")} AS operation_id, 'RETRACT_ASSERTION' AS op_type,
+      undoes, 'as_' || {_token(_AS)} AS assertion_id, 'SUPERSEDED' AS new_status, strftime(made, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS superseded_at, value AS restores FROM u""",
     "compensation_guards": f"""WITH {_OPS} SELECT 'pl_' || {_token("plan || ':compensate'")} AS plan_id, 'snapshot_version' AS kind, subject, '7' AS expected FROM (SELECT plan, min('op_' || {_token("cand || ':ATTACH_ASSERTION'")}) AS subject FROM ops GROUP BY plan)""",
     "plan_evidence": f"WITH {_OPS} SELECT plan AS plan_id, string_agg('ev_' || k, ',' ORDER BY i) AS evidence_ids FROM ops GROUP BY 1",
     "execution_outcomes": f"""WITH s AS (SELECT *, op_type NOT IN ('CREATE_IDENTITY', 'ATTACH_ASSERTION', 'REVOKE_IDENTITY', 'RESTORE_IDENTITY', 'RETRACT_ASSERTION') AS odd FROM plan_operations WHERE plan_id IS NOT NULL),
