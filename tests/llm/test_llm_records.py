@@ -43,6 +43,22 @@ M = "match_id bigint, left_key string, right_key string, decided_at timestamp, l
 C = "cluster_id string, version bigint, entity_type string, members array<string>"
 
 
+def test_hops_keep_the_plan_linear(spark):
+    loops = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "b"), ("a", "a"), ("b", "b"), ("c", "c")], "src string, dst string")
+    best = spark.createDataFrame([("a", 0.0, "a", True), ("b", 1.5, "b", False), ("c", 5.0, "c", False)], "v string, t double, c string, moved boolean")
+    for _ in range(3):
+        best = components._hop(loops, best, 7)
+    assert best._jdf.queryExecution().analyzed().toString().count("Join ") == 3
+    assert {(r.v, r.t, r.c) for r in best.collect()} == {("a", 0.0, "a"), ("b", 1.0, "a"), ("c", 2.0, "a")}
+
+
+def test_keys_are_distinct_without_a_shuffle(spark):
+    keys = names._person_keys(spark.createDataFrame([("g", "jo|abcdef abcdef"), ("h", "j|abcdef")], "graph_id string, v string"))
+    rows = keys.collect()
+    assert len(rows) == len(set(rows)) and {r.graph_id for r in rows} == {"g", "h"}
+    assert "Exchange" not in keys._jdf.queryExecution().executedPlan().toString()
+
+
 def test_group_keys(spark):
     m = spark.createDataFrame([(1, "a", "b", T(1), "SAME_AS", ""), (2, "b", "a", T(2), None, ""), (3, "b", "c", T(1), "SAME_AS", ""), (4, "c", "b", T(1), "POSSIBLY_SAME_AS", ""), (5, "d", "e", None, "SAME_AS", ""), (6, "e", "e", T(1), "SAME_AS", ""), (7, None, "e", T(1), "SAME_AS", ""), (8, "e", "f", T(3), "SAME_AS", ""), (8, "e", "f", T(3), "SAME_AS", "")], M)
     c = spark.createDataFrame([("x", 1, "Concept", ["a", "z"]), ("x", 2, "Concept", ["f", "q", "q", None]), ("x", 2, "Concept", ["f", "q"]), ("y", 1, "Paper", ["a", "b"]), ("w", 1, "Concept", ["solo"]), (None, 1, "Concept", ["m", "n"])], C)
