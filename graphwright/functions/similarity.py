@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -88,22 +90,42 @@ def _winkler_of(a: str, b: str) -> float:
     return _SEEN[key]
 
 
+def _best_of(x: Sequence[str] | None, y: Sequence[str] | None) -> float | None:
+    return max((_winkler_of(p, q) for p in x for q in y), default=None) if x is not None and y is not None else None
+
+
 def best_name_similarity_batched(a: Column, b: Column) -> Column:
     """``best_name_similarity`` in Arrow batches: each pair of names is compared once per process."""
 
     @F.pandas_udf("double")
     def best(left: pd.Series, right: pd.Series) -> pd.Series:
-        one = lambda x, y: max((_winkler_of(p, q) for p in x for q in y), default=None) if x is not None and y is not None else None
-        return pd.Series([one(x, y) for x, y in zip(left, right, strict=True)], dtype="float64")
+        return pd.Series([_best_of(x, y) for x, y in zip(left, right, strict=True)], dtype="float64")
 
     return best(a, b)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two vectors; null for unequal lengths, empty vectors and zero norms."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (norm > 0), dot(a, b) / norm)
+def name_similarities_batched(a: Column, others: Column) -> Column:
+    """``best_name_similarity`` of the names ``a`` with each element of ``others``, an array of arrays of names."""
+
+    @F.pandas_udf("array<double>")
+    def best(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([[_best_of(x, y) for y in ys] for x, ys in zip(left, right, strict=True)])
+
+    return best(a, others)
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(_dot(a, a))
+
+
+def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
+    """Cosine of two vectors; null for unequal lengths, empty vectors and zero norms.  Norms that are at hand can be given."""
+    both = (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)
+    return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (both > 0), _dot(a, b) / both)
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -19,6 +19,16 @@ def attach(pairs: DataFrame, entities: DataFrame, key: str = "source_key") -> Da
     return pairs.join(view("left", "l"), "left").join(view("right", "r"), "right")
 
 
+def attach_within(left: DataFrame, right: DataFrame, block: str, key: str = "source_key") -> DataFrame:
+    """(left, right, l, r) of all pairs of a block, left < right, of two views of the same rows, each with one block.
+
+    No pair can come up twice then, so pairs are made where the rows of their
+    block meet and are neither shuffled nor written; only the rows are.
+    """
+    view = lambda e, side, s: e.select(block, F.col(key).alias(side), F.struct(*[c for c in e.columns if c not in (key, block)]).alias(s))
+    return view(left, "left", "l").join(view(right, "right", "r").hint("merge"), block).filter("left < right").select("left", "right", "l", "r")
+
+
 def identity_signals(attached: DataFrame) -> DataFrame:
     """(left, right, namespace, agreement) per identifier namespace that both sides have and that can identify.
 
@@ -62,22 +72,45 @@ def with_frequency(entities: DataFrame, key: str = "source_key") -> DataFrame:
     """Adds ``id_freq``: how many rows carry each identifier value of the row; ``entities`` has one row per key."""
     each = entities.select(key, F.explode(F.array_distinct(F.flatten(F.map_values("ids")))).alias("value"))
     n = each.groupBy("value").agg(F.count("*").alias("n"))
-    own = each.join(n, "value").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("value", "n"))).alias("id_freq"))
-    return entities.join(own, key, "left")
+    # as many rows as ``entities``, whatever size Spark guesses for what is exploded: never broadcast
+    own = each.join(n.hint("merge"), "value").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("value", "n"))).alias("id_freq"))
+    return entities.join(own.hint("merge"), key, "left")
+
+
+#: Columns that count as null where entities lack them.
+OPTIONAL = {"valid_from": "timestamp", "valid_to": "timestamp", "latitude": "double", "longitude": "double", "affiliations": "array<string>", "neighbors": "array<string>", "source_reliability": "double", "embedding": "array<double>"}
+#: Namespaces that can identify, and those of them that do so for some types only.
+_KNOWN = sorted((*config.STRONG_NAMESPACES, *config.SCOPED_NAMESPACES))
+_SCOPED = sorted(config.SCOPED_NAMESPACES)
+#: Digits of a frequency in a tag.
+_DIGITS = 19
+
+
+def _view(entities: DataFrame, key: str, rarity: bool, *more: str) -> DataFrame:
+    """What features need of an entity, once per entity: the values of each namespace (null without any), whether it is in scope, and its identifiers as tags that begin with their frequency."""
+    e = entities.select("*", *[F.lit(None).cast(t).alias(c) for c, t in OPTIONAL.items() if c not in entities.columns])
+    e = with_frequency(e, key) if rarity else e.withColumn("id_freq", F.lit(None).cast("map<string,bigint>"))
+    kind = normalize_entity_type(F.col("entity_type"))
+    values = lambda n: F.try_element_at("ids", F.lit(n))
+    tagged = lambda n, vs: F.transform(vs, lambda x: F.concat(F.lpad(F.try_element_at("id_freq", x).cast("string"), _DIGITS, "0"), n, F.lit("\t"), x))
+    known = [F.when(F.size(values(n)) > 0, values(n)).alias(f"ids_{n}") for n in _KNOWN]
+    scope = [kind.isin(*config.SCOPED_NAMESPACES[n][0]).alias(f"in_{n}") for n in _SCOPED]
+    tags = [tagged(F.lit(n), values(n)).alias(f"tags_{n}") for n in _SCOPED]
+    rest = F.map_entries(F.map_filter("ids", lambda n, _: ~n.isin(*_SCOPED)))
+    return e.select(key, *more, "names", *known, *scope, *tags, F.flatten(F.transform(rest, lambda x: tagged(x["key"], x["value"]))).alias("tags"), sim.norm(F.col("embedding")).alias("norm"), *OPTIONAL)
 
 
 def _verdicts(l: Column, r: Column) -> dict[str, Column]:  # noqa: E741
     """Per namespace that can identify: 1 for agreement, -1 for contradiction, 0 for seen and not weighed, null where a side has no value."""
     out = {}
-    for n in sorted((*config.STRONG_NAMESPACES, *config.SCOPED_NAMESPACES)):
-        x, y = F.try_element_at(l["ids"], F.lit(n)), F.try_element_at(r["ids"], F.lit(n))
-        both, shared = (F.size(x) > 0) & (F.size(y) > 0), F.arrays_overlap(x, y)
+    for n in _KNOWN:
+        x, y = l[f"ids_{n}"], r[f"ids_{n}"]
+        both, shared = x.isNotNull() & y.isNotNull(), F.arrays_overlap(x, y)
         if n in config.STRONG_NAMESPACES:
             out[n] = F.when(both, F.when(shared, 1).otherwise(-1))
         else:
-            types, contradicts = config.SCOPED_NAMESPACES[n]
-            inside = l["entity_type"].isin(*types) & r["entity_type"].isin(*types)
-            out[n] = F.when(both, F.when(~inside, 0).when(shared, 1).otherwise(-1 if contradicts else 0))
+            contradicts = config.SCOPED_NAMESPACES[n][1]
+            out[n] = F.when(both, F.when(~(l[f"in_{n}"] & r[f"in_{n}"]), 0).when(shared, 1).otherwise(-1 if contradicts else 0))
     return out
 
 
@@ -89,25 +122,42 @@ def pair_features(pairs: DataFrame, entities: DataFrame, key: str = "source_key"
     over the pairs; frequencies of identifiers are put beside the entities
     before.  ``batched_names`` compares names in Arrow batches, else natively.
     """
-    types = {"valid_from": "timestamp", "valid_to": "timestamp", "latitude": "double", "longitude": "double", "affiliations": "array<string>", "neighbors": "array<string>", "source_reliability": "double", "embedding": "array<double>"}
-    e = entities.select("*", *[F.lit(None).cast(t).alias(c) for c, t in types.items() if c not in entities.columns])
-    e = with_frequency(e, key) if rarity else e.withColumn("id_freq", F.lit(None).cast("map<string,bigint>"))
-    e = e.withColumn("entity_type", normalize_entity_type(F.col("entity_type")))
-    a = attach(pairs, e.select(key, "entity_type", "names", "ids", "id_freq", *types), key)
+    names = (sim.best_name_similarity_batched if batched_names else sim.best_name_similarity)(F.col("l.names"), F.col("r.names"))
+    return _features_of(attach(pairs, _view(entities, key, rarity), key), names, rarity)
+
+
+def block_features(entities: DataFrame, block: str, key: str = "source_key", rarity: bool = True) -> DataFrame:
+    """``pair_features`` of all pairs of each block; every row of ``entities`` has one block.
+
+    Python would keep all pairs of a task on disk until they are compared.  So
+    it compares each row's names with the distinct names of the block before:
+    8 bytes per row and distinct names are shuffled, and a pair only looks up
+    its similarity.
+    """
+    e = _view(entities, key, rarity, block)
+    each = e.filter(F.col(block).isNotNull() & F.col("names").isNotNull()).select(block, "names").distinct()
+    all_ = each.groupBy(block).agg(F.array_sort(F.collect_list("names")).alias("_all"))
+    named = each.join(all_.hint("merge"), block).select(block, "names", F.array_position("_all", F.col("names")).cast("int").alias("name"), sim.name_similarities_batched(F.col("names"), F.col("_all")).alias("alike"))
+    e = e.join(named.hint("merge"), [block, "names"], "left").drop("names")
+    return _features_of(attach_within(e, e.drop("alike"), block, key), F.get(F.col("l.alike"), F.col("r.name") - 1), rarity)
+
+
+def _features_of(a: DataFrame, names: Column, rarity: bool) -> DataFrame:
     l, r = F.col("l"), F.col("r")  # noqa: E741
     v = _verdicts(l, r)
-    any_ = lambda k: F.coalesce(*[F.when(c == k, True) for c in v.values()], F.lit(False))
-    agree = F.when(any_(-1), -1.0).when(any_(1), 1.0)
-    silent = F.array_compact(F.array(*[F.when(c == 0, F.lit(n)) for n, c in v.items()]))
-    spaces = F.array_except(F.array_intersect(F.map_keys(l["ids"]), F.map_keys(r["ids"])), silent)
-    shared = F.flatten(F.transform(spaces, lambda n: F.array_intersect(F.try_element_at(l["ids"], n), F.try_element_at(r["ids"], n))))
-    rare = F.array_max(F.transform(shared, lambda x: F.lit(1.0) / F.try_element_at(l["id_freq"], x)))
     temporal = sim.temporal_compatible(l["valid_from"], l["valid_to"], r["valid_from"], r["valid_to"])
-    names = (sim.best_name_similarity_batched if batched_names else sim.best_name_similarity)(l["names"], r["names"])
+    # what is looked at more than once is a column of its own
+    a = a.select("left", "right", "l", "r", *[c.alias(f"v_{n}") for n, c in v.items()], temporal.alias("t"))
+    v = {n: F.col(f"v_{n}") for n in v}
+    any_ = lambda k: F.coalesce(*[F.when(c == k, True) for c in v.values()], F.lit(False))
+    agree, temporal = F.when(any_(-1), -1.0).when(any_(1), 1.0), F.col("t")
+    # the least tag that both have is the rarest value; namespaces seen and not weighed say nothing
+    least = [F.array_min(F.array_intersect(l["tags"], r["tags"])), *[F.when(v[n] != 0, F.array_min(F.array_intersect(l[f"tags_{n}"], r[f"tags_{n}"]))) for n in _SCOPED]]
+    rare = F.lit(1.0) / F.substring(F.least(*least), 1, _DIGITS).cast("bigint")
     return a.select(
         "left", "right", names.alias("name_similarity"), agree.alias("identifier_agreement"), temporal.cast("double").alias("temporal_compatible"), sim.haversine_km(l["latitude"], l["longitude"], r["latitude"], r["longitude"]).alias("geographic_distance"),
         sim.shared_count(l["affiliations"], r["affiliations"]).cast("double").alias("shared_affiliations"), (rare if rarity else F.lit(None).cast("double")).alias("attribute_rarity"), sim.both_least(l["source_reliability"], r["source_reliability"]).alias("source_reliability"),
-        sim.cosine(l["embedding"], r["embedding"]).alias("embedding_similarity"), sim.jaccard(l["neighbors"], r["neighbors"]).alias("neighborhood_compatibility"), F.coalesce((agree == -1.0) | ~temporal, agree == -1.0, ~temporal, F.lit(False)).cast("double").alias("mutually_exclusive"),
+        sim.cosine(l["embedding"], r["embedding"], l["norm"], r["norm"]).alias("embedding_similarity"), sim.jaccard(l["neighbors"], r["neighbors"]).alias("neighborhood_compatibility"), F.coalesce((agree == -1.0) | ~temporal, agree == -1.0, ~temporal, F.lit(False)).cast("double").alias("mutually_exclusive"),
     )
 
 

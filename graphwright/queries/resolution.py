@@ -75,7 +75,7 @@ def identity_signals(spark, d):
 
 
 def _features(spark, d):
-    return features.pair_features(_near_pairs(spark, d), _parts(spark, d))
+    return features.block_features(_parts(spark, d).drop("bk"), "near")
 
 
 def pair_features(spark, d):

@@ -128,6 +128,23 @@ def test_signals_and_features(spark):
     assert [x.rule for x in features.run_identity_rules(features.attach(pairs, e)).select("rule").distinct().collect()] == ["shared_strong_identifier"]
 
 
+def test_features_within_blocks(spark):
+    rows = [
+        ("a", "b1", ["martha", "x"], {"doi": ["1", "2"], "issn": ["i"]}, "Journal", [1.0, 2.0]), ("b", "b1", ["marhta"], {"doi": ["2"], "issn": ["i"]}, "Journal", [2.0, 1.0]), ("c", "b1", ["martha", "x"], {"issn": ["i"], "orcid": ["o"]}, "Paper", [0.0, 0.0]),
+        ("d", "b1", None, {"w": ["z"]}, "Person", None), ("e", "b1", [], None, "Person", [1.0]), ("f", "b2", ["martha"], {"w": ["z", "y"]}, "Person", [1.0, 1.0]), ("g", "b2", ["mara"], {"w": ["y", "z"], "orcid": ["o"]}, "Person", [1.0, 0.5]), ("h", None, ["mara"], {}, None, None), ("i", None, ["mara"], {}, None, None),
+    ]
+    e = spark.createDataFrame(rows, "source_key string, bk string, names array<string>, ids map<string,array<string>>, entity_type string, embedding array<double>")
+    keys = e.select(F.col("source_key").alias("k"), F.lit("c").alias("channel"), "bk")
+    want = features.pair_features(block.block_pairs(keys)[0].select("left", "right"), e.drop("bk"))
+    got = features.block_features(e, "bk")
+    assert sorted(map(tuple, got.collect()), key=lambda t: t[:2]) == sorted(map(tuple, want.collect()), key=lambda t: t[:2]) and got.count() == 11
+    by = {(r.left, r.right): r for r in got.collect()}
+    assert (by["a", "b"].attribute_rarity, by["a", "c"].attribute_rarity, by["f", "g"].attribute_rarity) == (0.5, None, 0.5) and by["c", "d"].name_similarity is None
+    # of a pair, nothing is shuffled or sent to Python
+    above = got._jdf.queryExecution().executedPlan().toString().partition("SortMergeJoin")[0]
+    assert "left" in above and "Exchange" not in above and "Python" not in above
+
+
 def test_normalize(spark):
     assert one(spark, normalize.normalize_doi(F.lit(" https://DOI.org/10.1/X "))) == "10.1/x"
     assert one(spark, normalize.normalize_orcid(F.lit("0000-0001-x"))) == "00000001X"
