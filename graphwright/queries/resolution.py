@@ -79,7 +79,8 @@ def _features(spark, d):
 
 
 def pair_features(spark, d):
-    return _features(spark, d).select("left", "right", *[F.round(f, 6).alias(f) for f in features.FEATURES])
+    whole = ("identifier_agreement", "temporal_compatible", "shared_affiliations", "mutually_exclusive")
+    return _features(spark, d).select("left", "right", *[f if f in whole else F.round(f, 6).alias(f) for f in features.FEATURES])
 
 
 def match_scores(spark, d):
