@@ -212,3 +212,33 @@ def test_matching_at_a_hot_site(spark):
     reg = spark.createDataFrame([(s, "UTC", True) for s in ("feed/a", "feed/b", "feed/c")], "source string, home_zone string, day_first boolean")
     got = {(r.left_key, r.right_key) for r in match.match_things(spark.createDataFrame(rows, ENTITY), reg).collect()}
     assert ("feed/a/1", "feed/b/1") in got
+
+
+def test_words_far_apart_are_not_aligned():
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdeß") for _ in range(rnd.randint(1, 8))) for _ in range(120)]
+
+    def edits(a, b):
+        d = {(i, j): i or j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    assert all(spelling.distance(a, b, most) == min(edits(a, b), most + 1) for a in words for b in words for most in (1, 2))
+    before = spelling._edits.cache_info().misses
+    assert spelling.distance("harbour", "wetlands") == 3 and spelling.same_org_name(("cargo", "harbour", "wetlands"), ("institute", "mapping", "polytech")) == 0
+    assert spelling._edits.cache_info().misses == before
+    # one word more on one side, an acronym for two words, and a word without a partner on each side
+    a = ("institute", "mapping", "tidal")
+    assert [spelling.same_org_name(x, y) for p, q in ((a, (*a, "fx")), (a, ("institute", "mt")), (a, ("institute", "mapping", "polar"))) for x, y in ((p, q), (q, p))] == [2, 2, 1, 1, 0, 0]
+
+
+def test_keys_are_made_in_all_tasks(spark):
+    few = spark.createDataFrame([("g", f"w{i}") for i in range(40)], "graph_id string, v string").coalesce(1)
+    k = names._keyed(names._spread(few), lambda: lambda v: [(v, 0), (v, 0), ("all", 1), (v[:2], 0)])
+    assert k.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    rows = [tuple(r) for r in k.collect()]
+    assert len(rows) == len(set(rows)) == 110 and len({r[3] for r in rows if r[2] == 1}) == 1
